@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from tidemark.llm import op5_neighbours as op5
+from tidemark.llm.op2_simhash import op2_simhash
+from tidemark.llm.op4_packing import op4_packing
 from tidemark.llm.op7_secrets import op7_secrets
+from tidemark.llm.op8_tokens import op8_tokens
 
 
 def queries() -> dict:
     """Name to callable of (spark, sf_dir)."""
-    return {"op7_secrets": op7_secrets}
+    return {
+        "op2_simhash": op2_simhash,
+        "op4_packing": op4_packing,
+        "op5_neighbours": op5.op5_neighbours,
+        "op7_secrets": op7_secrets,
+        "op8_tokens": op8_tokens,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, for those that SQL can express."""
-    return {}
+    return {"op5_neighbours": op5.ORACLE}
