@@ -121,3 +121,32 @@ def checkpointed(df):
     """df, written to the shared checkpoint folder and cut off from its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(97, 123), *range(128, 256)]] = True
+_LETTERS_AND_DIGITS = _LETTERS.copy()
+_LETTERS_AND_DIGITS[48:58] = True
+
+
+def plain_words(data: np.ndarray, offs: np.ndarray, digits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As split_words, for words of lower-case letters (any byte past ASCII counts as one) and, unless turned off, digits."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offs), np.int64)
+    word = (_LETTERS_AND_DIGITS if digits else _LETTERS)[data]
+    first = np.zeros(n + 1, bool)
+    inner = offs[:-1]
+    first[inner[inner < n]] = True
+    starts = np.flatnonzero(word & (first[:-1] | ~np.concatenate(([False], word[:-1]))))
+    first[n] = True
+    ends = np.flatnonzero(word & (first[1:] | ~np.concatenate((word[1:], [False])))) + 1
+    return starts, ends, np.searchsorted(starts, offs)
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in lower case."""
+    import pyarrow.compute as pc
+
+    return pc.utf8_lower(column.cast(pa.large_string()))
