@@ -155,7 +155,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     linked = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
     across = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     known = linked.join(across, "root").select("fp", "component_id")
-    ids = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written out, so that the last join deals both sides anew and a fingerprint that many texts share can be split
+    ids = checkpointed(distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return held.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
