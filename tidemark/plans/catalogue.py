@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tidemark.plans import q_bars, q_positions
+
+_PARTS = (q_bars, q_positions)
+
 
 def queries() -> dict:
     """Name to callable of (spark, sf_dir)."""
-    return {}
+    return {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
