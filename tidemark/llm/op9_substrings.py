@@ -12,7 +12,7 @@ that depth only, and nodes are named by hashes of their path instead of by their
 
 Scale. A task first brings together what it has read itself: a prefix that it holds twice is known to repeat, and only one of its
 holders is sent to the others. So no group is larger than the number of tasks, however many documents hold a passage. Groups are
-streamed in sorted order. Only the texts travel whole, twice, keyed by their hash and length; copies share a key and are
+streamed in sorted order. Only the texts travel whole, once for both joins, keyed by their hash and length; copies share a key and are
 worked on once. Everything is one plan with no driver state.
 
 Cases. Null, empty and shorter texts lose nothing; a null text has no words and the hash of the empty text. Copies of a text, repeated rows
@@ -152,7 +152,7 @@ def repeated_prefixes(texts: DataFrame, window: int, gram: int, hold: int) -> Da
 
 
 def repeated_windows(texts: DataFrame, window: int, gram: int, hold: int) -> DataFrame:
-    """(k, size, starts): where repeated windows start. texts: (k, size, text, prefixes)."""
+    """(k, size, starts): where repeated windows start. texts: (k, size, text, prefixes), and doc_id, which keeps its shuffle the same as the last step's."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -205,7 +205,7 @@ def repeated_windows(texts: DataFrame, window: int, gram: int, hold: int) -> Dat
             yield from table.select(["k", "size", "starts"]).to_batches()
 
     schema = "route bigint, state tinyint, k bigint, size int, starts array<int>"
-    sent = texts.select("k", "size", "text", "prefixes").mapInArrow(send, schema)
+    sent = texts.select("k", "size", "text", "prefixes", "doc_id").mapInArrow(send, schema)
     met = sent.repartition("route").sortWithinPartitions("route").mapInArrow(meet, "k bigint, size int, starts array<int>")
     return met.groupBy("k", "size").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -220,9 +220,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumns({"k": F.xxhash64("text"), "size": F.octet_length("text")})
-    texts = own.select("k", "size", "text")
-    prefixes = repeated_prefixes(texts, window, gram, hold)
-    some = texts.join(prefixes.hint("shuffle_hash"), ["k", "size"])
+    prefixes = repeated_prefixes(own, window, gram, hold)
+    some = own.join(prefixes.hint("shuffle_hash"), ["k", "size"])
     gone = repeated_windows(some, window, gram, hold)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
