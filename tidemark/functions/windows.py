@@ -48,6 +48,13 @@ def finite(x) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def correlation(a, b) -> Column:
+    """Pearson's correlation over rows with both, as an aggregate; NULL where one of them doesn't vary."""
+    a, b = col(a), col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 class Panel:
     """A DataFrame of series with staged window columns."""
 
@@ -134,6 +141,9 @@ class Panel:
         w = self.frame(n)
         x, y = col(x), col(y)
         both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(w)
+        if kind == "corr":
+            sd = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
+            return self.let(F.when(both >= n, ratio(F.covar_pop(x, y).over(w), sd)))
         return self.let(F.when(both >= n, getattr(F, kind)(y, x).over(w)))
 
     def ordinal(self) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import Panel, col, ratio
+from tidemark.functions.windows import Panel, col, correlation, ratio
 
 RISK_FREE = 0.06
 
@@ -77,7 +77,7 @@ def series_metrics(frame: DataFrame, keys=("ticker",), order=("ts",), least: int
     g = df.groupBy(*keys).agg(
         F.count("*").alias("n_bars"), (F.datediff(F.max(ts), F.min(ts)) / 365.25).alias("years"), F.max_by("equity", ts).alias("_end"), F.avg(net).alias("_mu"), F.stddev_samp(net).alias("_sd"),
         F.sqrt(F.avg(F.pow(F.least(net, F.lit(0.0)), 2))).alias("_dd"), F.min("drawdown").alias("max_drawdown"), ratio(F.sum(F.when(net > 0, net)), F.sum(F.when(net < 0, -net))).alias("profit_factor"),
-        F.skewness(net).alias("_g1"), F.avg(active.cast("double")).alias("exposure"), F.avg(F.when(active, (net > 0).cast("double"))).alias("win_rate_days"), F.sum("turnover").alias("_to"), F.sum("cost").alias("_c"), F.corr("_at", "_le").alias("_corr"),
+        F.skewness(net).alias("_g1"), F.avg(active.cast("double")).alias("exposure"), F.avg(F.when(active, (net > 0).cast("double"))).alias("win_rate_days"), F.sum("turnover").alias("_to"), F.sum("cost").alias("_c"), correlation("_at", "_le").alias("_corr"),
     )
     ann = F.when(F.col("years") > 0, n / F.col("years")).otherwise(252.0)
     g = g.join(t, list(keys), "left").join(y, list(keys), "left").withColumn("_ann", ann)
@@ -142,5 +142,5 @@ def top_k(df: DataFrame, keys, order, k: int) -> DataFrame:
 def pair_correlations(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every two columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = wide.agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
+    row = wide.agg(*[correlation(a, b).alias(f"{a}~{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}~{b}`").alias("corr")) for a, b in pairs])).alias("r")).select("r.*")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_bars, q_positions
+from tidemark.plans import q_bars, q_folds, q_positions
 
-_PARTS = (q_bars, q_positions)
+_PARTS = (q_bars, q_positions, q_folds)
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import Panel
+from tidemark.functions.windows import Panel, correlation
 from tidemark.operators import joins as J
 from tidemark.operators import metrics as M
 from tidemark.operators import overlay as ML
@@ -166,7 +166,7 @@ def daily_pair_corr(spark, d):
 def spearman(spark, d):
     c = load(spark, d, "customer").select("c_acctbal", "c_custkey").withColumn("one", F.lit(1))
     c = P.percent_rank_average(P.percent_rank_average(c, "one", "c_acctbal", "a"), "one", "c_custkey", "b")
-    return c.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    return c.agg(F.round(correlation("a", "b"), 6).alias("rho"))
 
 
 @query("histogram_entropy", "WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events), x AS (SELECT least(floor((value - a) * 10 / (b - a)), 9) AS bin FROM events, e), n AS (SELECT bin, count(*) / sum(count(*)) OVER () AS p FROM x GROUP BY bin) SELECT round(sum(-p * ln(p)), 6) AS entropy FROM n")
