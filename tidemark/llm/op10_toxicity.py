@@ -8,7 +8,7 @@ sampled documents' own labels are one more voter, of a stated accuracy. A logist
 words is then fitted to the model's posteriors, and scores every whole text.
 
 Training. At most SAMPLE labelled documents of each label, and SAMPLE_CHARS characters of each, chosen by a hash of the id,
-reach the driver; near copies among them count once. Sampling is undone by weights.
+go to one task, which fits the model; only ids and the model reach the driver. Near copies among them count once. Sampling is undone by weights.
 
 Cases. A null text is an empty one and is scored like any other. With no labelled document, scores are 0; with one label only,
 they are that label's share as smoothed. Of several labels of one document the larger holds; null labels are left out.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textvec import hash_words, lowered, plain_words, slices
+from tidemark.llm.textvec import fitted, hash_words, lowered, plain_words, slices
 
 SAMPLE = 3000
 SAMPLE_CHARS = 20000
@@ -206,9 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str
     ids = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     picked = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
     texts = docs.select(F.col(doc_id).alias("i"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    rows = texts.join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "t").limit(4 * sample).collect()
-    got = {y: sum(r.y == y for r in rows) for y in sizes}
-    return fit([r.t for r in rows], [r.y for r in rows], {y: sizes[y] / got[y] for y in sizes if got[y]})
+    rows = texts.join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "t").limit(4 * sample)
+
+    def learn(table: pa.Table) -> Model | None:
+        y = table.column("y").to_pylist()
+        return fit(table.column("t").to_pylist(), y, {k: n / y.count(k) for k, n in sizes.items() if k in y})
+
+    return fitted(rows.select("t", "y"), learn)
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

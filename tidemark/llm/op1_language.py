@@ -8,8 +8,8 @@ mean posterior over all its words, and that mean is the score.
 
 A chain is a sentence (up to a full stop, mark or line feed), broken after 64 words. Texts are lower-cased and read whole.
 
-Training. At most SAMPLE documents with a language, chosen by a hash of their id and spread over languages, and at most
-SAMPLE_CHARS characters of each, reach the driver. Nothing but text and language is learned from.
+Training. At most SAMPLE documents with a language (about), chosen by a hash and spread over languages, and at most SAMPLE_CHARS
+characters of each, go to one task, which fits the model; only the model reaches the driver. Nothing but text and language is learned from.
 
 Cases. A null text, or one with no letter, is `und` with score 0. With no document to learn from every text is. Repeated rows and null
 ids are predicted like others (a null id counts as held out). An empty table gives no rows. Other columns aren't read.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textvec import hash_words, lowered, plain_words, slices
+from tidemark.llm.textvec import fitted, hash_words, lowered, plain_words, slices
 
 SAMPLE = 1200
 SAMPLE_CHARS = 4000
@@ -238,8 +238,8 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, chosen=None, sampl
     each = max(1, sample // len(sizes))
     rate = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1.0, each / n))) for lang, n in sizes])
     drawn = own.filter("t IS NOT NULL").filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < rate * (1 << 30))
-    rows = drawn.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * sample).collect()
-    return fit([(r.t.lower(), r.l) for r in sorted(rows, key=lambda r: (r.h, r.t))])
+    rows = drawn.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * sample)
+    return fitted(rows, lambda table: fit([(t.lower(), lang) for _, t, lang in sorted(zip(*(table.column(c).to_pylist() for c in "htl"), strict=True))]))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

@@ -150,3 +150,16 @@ def lowered(column: pa.Array) -> pa.Array:
     import pyarrow.compute as pc
 
     return pc.utf8_lower(column.cast(pa.large_string()))
+
+
+def fitted(rows, fit):
+    """What `fit` makes of a bounded sample, as an Arrow table, in one task on an executor; None for no rows."""
+    import pickle
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
