@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textvec import fitted, hash_words, lowered, plain_words, slices
+from tidemark.llm.textvec import fitted, hash_words, lowered, mix, plain_words, slices
 
 SAMPLE = 3000
 SAMPLE_CHARS = 20000
@@ -34,6 +34,8 @@ VOTERS = 200
 #: A lexicon word occurs in this many sampled toxic documents at least, and is this many times as frequent there.
 LEAST_DOCS = 4
 LIFT = 8.0
+#: And the log likelihood ratio of that exceeds the log of the number of words by this much.
+CERTAINTY = 6.0
 LABEL_ACCURACY = 0.98
 BUCKETS = 1 << 15
 THRESHOLD = 0.3
@@ -152,28 +154,50 @@ def fit(texts: list[str], labels: list[int], weights: dict[int, float] | None =
     doc = np.repeat(np.arange(len(y)), counts)
     pair_key, pair_doc = np.unique(np.stack((key, doc.astype(np.uint64))), axis=1) if len(key) else (np.zeros(0, np.uint64),) * 2
     pair_doc = pair_doc.astype(np.int64)
-    # near copies: the same least word hashes; the first of them stays
-    order = np.lexsort((pair_key, pair_doc))
-    least, begin = {}, np.searchsorted(pair_doc[order], np.arange(len(y) + 1))
-    once = np.ones(len(y), bool)
-    for d in range(len(y)):
-        own = pair_key[order[begin[d] : min(begin[d] + 4, begin[d + 1])]]
-        if begin[d + 1] - begin[d] >= 20:
-            once[d] = least.setdefault((own.tobytes(), int(y[d])), d) == d
-    kept = once[pair_doc]
-    names, slot = np.unique(pair_key[kept], return_inverse=True)
-    toxic = np.bincount(slot, y[pair_doc[kept]] == 1, len(names))
-    other = np.bincount(slot, y[pair_doc[kept]] == 0, len(names))
+    names, slot, held = np.unique(pair_key, return_inverse=True, return_counts=True)
+    once = _first_of_copies(pair_key, pair_doc, held[slot], y)
+    toxic = np.bincount(slot, once[pair_doc] & (y[pair_doc] == 1), len(names))
+    other = np.bincount(slot, once[pair_doc] & (y[pair_doc] == 0), len(names))
     n1, n0 = max(1, (y[once] == 1).sum()), max(1, (y[once] == 0).sum())
     p1, p0 = (toxic + 0.01) / n1, (other + 0.5) / n0
-    good = np.flatnonzero((toxic >= LEAST_DOCS) & (p1 >= LIFT * p0))
-    gain = toxic[good] / n1 * np.log(p1[good] / p0[good])
+    # how much better its own share explains a word's documents than the sample's does; so many words are tried that it must be far more
+    share_, base = toxic / np.maximum(toxic + other, 1), n1 / (n1 + n0)
+    gain = toxic * np.log(np.maximum(share_, 1e-12) / base) + other * np.log(np.maximum(1 - share_, 1e-12) / (1 - base))
+    good = np.flatnonzero((toxic >= LEAST_DOCS) & (p1 >= LIFT * p0) & (gain >= np.log(max(len(names), 1)) + CERTAINTY))
+    gain = gain[good]
     lexicon = np.sort(names[good[np.argsort(-gain, kind="stable")][:VOTERS]])
     weight = np.array([(weights or {}).get(int(v), 1.0) for v in y]) * once
     q, _, share = label_model(ballots(lexicon, words), y, weight)
     return _classifier(lexicon, words, q, weight, share)
 
 
+def _first_of_copies(key: np.ndarray, doc: np.ndarray, held: np.ndarray, y: np.ndarray, parts: int = 8, same: int = 5) -> np.ndarray:
+    """Whether each document is the first of those with its label that have the same words, or agree in most of some minima over the less common ones."""
+    once = np.ones(len(y), bool)
+    sums, alike = np.zeros(len(y), np.uint64), set()
+    np.add.at(sums, doc, mix(key))
+    for d, mark in enumerate(zip(y.tolist(), sums.tolist(), strict=True)):
+        once[d] = not mark[1] or mark not in alike
+        alike.add(mark)
+    rare = np.flatnonzero(once[doc] & (held <= max(4, 0.2 * len(y))))
+    own = rare[np.argsort(doc[rare], kind="stable")]
+    begin = np.searchsorted(doc[own], np.arange(len(y) + 1))
+    full = np.flatnonzero(np.diff(begin) >= 20)
+    if not len(full):
+        return once
+    minima = np.stack([np.minimum.reduceat(mix(key[own] + np.uint64(k + 1)), begin[full]) for k in range(parts)], axis=1)
+    seen: dict[tuple[int, int, int], list[int]] = {}
+    for d, least in zip(full.tolist(), minima.tolist(), strict=True):
+        marks = [(int(y[d]), k, v) for k, v in enumerate(least)]
+        near = [x for m in marks for x in seen.get(m, ())]
+        if near and np.unique(near, return_counts=True)[1].max() >= same:
+            once[d] = False
+        else:
+            for m in marks:
+                seen.setdefault(m, []).append(d)
+    return once
+
+
 def _classifier(lexicon: np.ndarray, words: Words, q: np.ndarray, weight: np.ndarray, share: np.ndarray, rounds: int = 300) -> Model:
     x = ballots(lexicon, words)
     model = Model(lexicon, np.zeros(x.shape[1]), np.zeros(BUCKETS), float(np.log((np.average(q, weights=weight) + 1e-4) / (1 - np.average(q, weights=weight) + 1e-4))))
