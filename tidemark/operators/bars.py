@@ -58,7 +58,7 @@ def keep_one(df: DataFrame, keys, order, last: bool = False) -> DataFrame:
 
 def validate(bars: DataFrame) -> DataFrame:
     """Bars that can be: positive prices, a high over and a low under the rest to 1e-9, and no negative volume."""
-    ok = (F.least("open", "high", "low", "close") > 0) & (F.col("high") >= F.greatest("open", "low", "close") - 1e-9)
+    ok = (F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0) & (F.col("high") >= F.greatest("open", "low", "close") - 1e-9)
     ok &= (F.col("low") <= F.least("open", "high", "close") + 1e-9) & (F.coalesce("volume", F.lit(0.0)) >= 0)
     return bars.filter(ok)
 

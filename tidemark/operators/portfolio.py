@@ -70,7 +70,7 @@ def combine(daily: DataFrame, shares: dict[str, float], target_vol: float | None
     if target_vol is None:
         return out
     sd = out.agg(F.stddev_pop("ret")).first()[0]
-    return out.withColumn("ret", F.col("ret") * (target_vol / sd)) if sd else out
+    return out.withColumn("ret", F.col("ret") * (target_vol / sd)) if sd and sd > 1e-12 else out
 
 
 def portfolio_metrics(daily: DataFrame, periods: int = 252) -> DataFrame:

@@ -256,3 +256,78 @@ def series_metrics(spark, d):
     return M.series_metrics(s)
 
 
+
+
+_r10 = "(2.0::DOUBLE / 11)"
+_y = _e("b.close", "y", _r10)
+_z = f"CASE WHEN b.rn < 10 THEN NULL WHEN r.z IS NULL THEN {_y} ELSE {_r10} * ({_y}) + (1 - {_r10}) * r.z END"
+_x = f"CASE WHEN b.rn < 19 THEN NULL WHEN r.x IS NULL THEN {_z} ELSE {_r10} * ({_z}) + (1 - {_r10}) * r.x END"
+folded("dema", lambda f: (K.dema(_c(f), 10),), {"dema": "double"}, S.recursion(B1, {"y": "close", "z": _nul}, {"y": _y, "z": _z}, {"dema": "CASE WHEN rn >= 19 THEN 2 * y - z END"}))
+folded("tema", lambda f: (K.tema(_c(f), 10),), {"tema": "double"}, S.recursion(B1, {"y": "close", "z": _nul, "x": _nul}, {"y": _y, "z": _z, "x": _x}, {"tema": "CASE WHEN rn >= 28 THEN 3 * y - 3 * z + x END"}))
+folded("zlema", lambda f: (K.zlema(_c(f), 9),), {"zlema": "double"}, S.recursion(B1, {"y": _nul}, {"y": _e("b.v", "y", "0.2::DOUBLE")}, {"zlema": "CASE WHEN rn >= 13 THEN y END"}, [{"v": f"2 * close - {S.lag('close', 4)}"}]))
+_tsi = {"d": f"close - {S.lag('close')}"}
+_a5, _a3 = "(2.0::DOUBLE / 6)", "0.5::DOUBLE"
+
+
+def _double(x: str, y: str, z: str) -> dict[str, str]:
+    first = _e(f"b.{x}", y, _a5)
+    return {y: first, z: f"CASE WHEN b.rn < 6 THEN NULL WHEN r.{z} IS NULL THEN {first} ELSE {_a3} * ({first}) + (1 - {_a3}) * r.{z} END"}
+
+
+folded("tsi", lambda f: (K.tsi(_c(f), 5, 3),), {"tsi": "double"}, S.recursion(B1, {"y": _nul, "z": _nul, "p": _nul, "q": _nul}, _double("d", "y", "z") | _double("ad", "p", "q"), {"tsi": "CASE WHEN rn >= 8 THEN 100 * z / nullif(q, 0) END"}, [_tsi, {"ad": "abs(d)"}], digits=5), 5)
+_near = {"fu": f"CASE WHEN b.u IS NULL THEN r.fu WHEN r.fu IS NULL THEN b.u ELSE {_fu} END", "fl": f"CASE WHEN b.u IS NULL THEN r.fl WHEN r.fl IS NULL THEN b.d ELSE {_fl} END", "t": _way}
+_chand = _atr10.replace("0.1 * b.tr + 0.9 * r.a", f"{_w14} * b.tr + (1 - {_w14}) * r.a").replace("SELECT *, CASE WHEN k >= 10 THEN (high + low) / 2 + 3 * a END AS u, CASE WHEN k >= 10 THEN (high + low) / 2 - 3 * a END AS d FROM qr", f"SELECT *, CASE WHEN k >= 14 THEN ({S.full('min', 'low', 14)}) + 3 * a END AS u, CASE WHEN k >= 14 THEN ({S.full('max', 'high', 14)}) - 3 * a END AS d FROM qr")
+folded("chandelier", lambda f: K.chandelier(f, 14, 3.0)[:1], {"trend": "int"}, S.recursion(_chand, {"fu": _nul, "fl": _nul, "t": "0"}, _near, {"trend": "CAST(CASE WHEN u IS NULL THEN 0 ELSE t END AS INTEGER)"}))
+_up0, _dn0 = "CASE WHEN up0 IS NOT NULL THEN up0 END", "dn0"
+_bu = "CASE WHEN b.close > r.u OR b.close < r.d THEN b.up0 WHEN r.t = -1 AND r.u < b.up0 THEN r.u ELSE b.up0 END"
+_bd = "CASE WHEN b.close > r.u OR b.close < r.d THEN b.dn0 WHEN r.t = 1 AND r.d > b.dn0 THEN r.d ELSE b.dn0 END"
+_bt = "CASE WHEN b.close > r.u THEN 1 WHEN b.close < r.d THEN -1 ELSE r.t END"
+folded("supertrend_bands", lambda f: K.supertrend_bands(f, 10, 3.0), {"line": "double", "trend": "int"},
+       S.recursion(B1, {"u": "up0", "d": "dn0", "t": "1"}, {"u": _bu, "d": _bd, "t": _bt}, {"line": "CASE WHEN t = 1 THEN d ELSE u END", "trend": "CAST(t AS INTEGER)"}, [S.TR, S.TR2, {"up0": f"(high + low) / 2 + 3 * ({S.full('avg', 'tr', 10)})", "dn0": f"(high + low) / 2 - 3 * ({S.full('avg', 'tr', 10)})"}]))
+
+
+@query("normalized_dema")
+def normalized_dema(spark, d):
+    return K.fold(event_bars(spark, d), {"x": "double"}, lambda f: {"x": K.normalized_dema(_c(f))}).select("ticker", "ts", "x")
+
+
+@query("cycle_histogram")
+def cycle_histogram(spark, d):
+    return K.fold(event_bars(spark, d), {"x": "double"}, lambda f: {"x": K.cycle_histogram(_c(f))}).select("ticker", "ts", "x")
+
+
+@query("adaptive_averages")
+def adaptive_averages(spark, d):
+    kernel = lambda f: {"t3": K.t3(_c(f), 5), "frama": K.frama(f), "kama_core": K.kama(_c(f), 3, 2, 50, at_once=True)}
+    return K.fold(event_bars(spark, d), dict.fromkeys(("t3", "frama", "kama_core"), "double"), kernel).select("ticker", "ts", "t3", "frama", "kama_core")
+
+
+@query("strongest_cycle")
+def strongest_cycle(spark, d):
+    df = K.fold(event_bars(spark, d), {"period": "int"}, lambda f: {"period": np.full(len(f), K.strongest_cycle(_c(f).to_numpy()), float)})
+    return df.groupBy("ticker").agg(F.max("period").alias("period"))
+
+
+@query("pair_trading")
+def pair_trading(spark, d):
+    from tidemark.operators.pairs import pair_trading as run
+
+    wide = event_bars(spark, d, "4h").groupBy("ts").pivot("ticker", ["click", "view"]).agg(F.first("close"))
+    return run(wide.select(F.lit("click~view").alias("pair"), "ts", F.col("click").alias("y"), F.col("view").alias("x")), n=20).select("pair", "ts", "slope", "z", "position", "pnl")
+
+
+@query("fine_exits")
+def fine_exits(spark, d):
+    from tidemark.operators.pairs import fine_exits as run
+
+    p = SG.Panel(event_bars(spark, d, "4h"))
+    p.let(SG.cross_signal(p, p.mean("close", 3), p.mean("close", 8)), "signal")
+    return run(event_bars(spark, d, "15m"), p.drop_temporary(), stop=0.5)
+
+
+@query("unit_root")
+def unit_root(spark, d):
+    from tidemark.operators.pairs import unit_root as run
+
+    got = run(event_bars(spark, d), "close")
+    return spark.createDataFrame([(k[0], round(v, 6)) for k, v in sorted(got.items())], "ticker string, t double")
