@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,10 +36,15 @@ def _lines(f: pd.DataFrame) -> dict:
     plus, minus, adx = K.dmi(f, 14)
     line, _, hist = K.macd(c)
     mid, up, _ = K.keltner(f, 20, 10, 2)
-    values = (K.ew_std(_log(c).diff(), 60, 20), K.atr(f, 14), plus, minus, adx, K.rsi(c, 14), line, hist, K.trix(c, 15), K.tsi(c), K.psar(f)[0], K.supertrend(f, 10, 3)[1], K.kama(c, 10, 2, 30), mid, up)
+    values = (K.ew_std(_log(c).diff(), 60, 20), K.atr(f, 14), plus, minus, adx, K.rsi(c, 14), line, hist, _z(K.trix(c, 15)), K.tsi(c), K.psar(f)[0], K.supertrend(f, 10, 3)[1], K.kama(c, 10, 2, 30), mid, up)
     return {f"_{n}": v for n, v in zip(_LINES, values, strict=True)}
 
 
+def _z(x: pd.Series, n: int = 252, least: int = 60) -> pd.Series:
+    w = x.rolling(n, min_periods=least)
+    return K.over(x - w.mean(), w.std())
+
+
 def _log(x: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -47,11 +53,8 @@ def _log(x: pd.Series) -> pd.Series:
 
 def features(bars: DataFrame, keys=("ticker",), order=("ts",), annual: int = 252) -> DataFrame:
     """Keys, order and NAMES as floats, each within LIMIT of 0 and NULL where it isn't known."""
-    df = K.fold(bars, {f"_{n}": "double" for n in _LINES}, _lines, keys=keys, order=order)
-    df = df.withColumns({f"_{n}": finite(f"_{n}") for n in _LINES})
-    p = Panel(df, keys, order)
-    c, dvol = F.col("close"), F.col("_dvol")
-    atr = p.let(F.nullif("_atr", F.lit(0.0)))
+    p = Panel(bars, keys, order)
+    c, dvol, atr = F.col("close"), F.col("_dvol"), F.nullif(F.col("_atr"), F.lit(0.0))
     lc = p.let(log("close"))
     lr = p.diff(lc)
     per = lambda x, n: ratio(x, dvol * math.sqrt(n))
@@ -62,7 +65,7 @@ def features(bars: DataFrame, keys=("ticker",), order=("ts",), annual: int = 252
     f |= {f"{n}_ratio": ratio(v(p, 20, annual), rv) for n, v in (("parkinson", I.parkinson_vol), ("gk", I.garman_klass_vol), ("rs", I.rogers_satchell_vol), ("yz", I.yang_zhang_vol))}
     f |= {"atr_pct": ratio(atr, c), "adx": F.col("_adx_") / 100, "di_diff": ratio(F.col("_pdi") - F.col("_mdi"), F.col("_pdi") + F.col("_mdi"))}
     up, down = I.aroon(p, 25)
-    f |= {"aroon_osc": (up - down) / 100, "rsi": F.col("_rsi_") / 100 - 0.5, "macd_hist": ratio("_hist", atr), "macd_line": ratio("_macd_", atr), "stoch_k": I.stochastic(p, 14)[0] / 100 - 0.5, "cci": I.cci(p, 20) / 100, "trix": I.rolling_z(p, F.col("_trix_"))}
+    f |= {"aroon_osc": (up - down) / 100, "rsi": F.col("_rsi_") / 100 - 0.5, "macd_hist": ratio("_hist", atr), "macd_line": ratio("_macd_", atr), "stoch_k": I.stochastic(p, 14)[0] / 100 - 0.5, "cci": I.cci(p, 20) / 100, "trix": F.col("_trix_")}
     vip, vim = I.vortex(p, 14)
     f |= {"vortex_diff": vip - vim, "er_10": I.efficiency_ratio(p, "close", 10), "er_63": I.efficiency_ratio(p, "close", 63), "chop": I.choppiness(p, 14) / 100}
     _, r2, t = I.linreg(p, lc, 63)
@@ -87,9 +90,14 @@ def features(bars: DataFrame, keys=("ticker",), order=("ts",), annual: int = 252
     lv, obv = p.let(F.log1p(F.col("volume").cast("double"))), I.obv(p)
     of_volume = {"vol_z": ratio(lv - p.mean(lv, 20), p.std(lv, 20)), "obv_slope": ratio(p.diff(obv, 20), p.total("volume", 20)), "cmf": I.cmf(p, 20), "mfi": I.mfi(p, 14) / 100 - 0.5}
     f |= {n: F.when(traded, v).otherwise(0.0) for n, v in of_volume.items()}
+    # everything windowed is staged by now; the pass comes last, and what needs its lines is said row by row
+    f = {n: p.let(v, f"_x_{n}") if not any(f"_{x}" in str(v) for x in _LINES) else v for n, v in f.items()}
+    needed = sorted({m for v in f.values() for m in re.findall(r"_w\d+_|_x_\w+", str(v))})
+    df = K.fold(p.df.select(*bars.columns, *needed), {f"_{n}": "double" for n in _LINES}, _lines, keys=keys, order=order)
+    df = df.withColumns({f"_{n}": finite(f"_{n}") for n in _LINES})
     bounded = {n: F.greatest(F.least(finite(f[n]), F.lit(LIMIT)), F.lit(-LIMIT)) for n in NAMES}
     # greatest and least pass over what is missing, so that is said apart
-    return p.df.select(*keys, *order, *[F.when(finite(f[n]).isNotNull(), bounded[n]).cast("float").alias(n) for n in NAMES])
+    return df.select(*keys, *order, *[F.when(finite(f[n]).isNotNull(), bounded[n]).cast("float").alias(n) for n in NAMES])
 
 
 def returns(bars: DataFrame) -> DataFrame:
