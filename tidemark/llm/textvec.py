@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
@@ -23,7 +23,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     table = _tables.get(base)
     if table is None or len(table) < n:
-        size = max(1 << 16, 1 << max(0, n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         table = np.full(size, base % (1 << 64), np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
