@@ -101,3 +101,24 @@ def test_forest_and_long_text():
     assert forest(np.array([1, 3, 0xFF00], np.uint64), 3) == [(0, 1)]
     text = " ".join(rng.choices(WORDS, k=40000))
     assert fingerprint(text.encode()) == brute_fp(text)
+
+
+def test_components_of_links_that_come_out_differently_each_time(spark):
+    """A rerun may give another forest of the same groups; directions must still belong together."""
+    from tidemark.llm.graph import components
+
+    g = spark.range(40).selectExpr("id AS n").repartition(4)
+
+    def star(batches):
+        import random
+
+        import pyarrow as pa
+
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            random.shuffle(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:1] * len(ids)), pa.array(ids)], names=["a", "b"])
+
+    links = g.coalesce(1).mapInArrow(star, "a bigint, b bigint")
+    got = components(links).collect()
+    assert len(got) == 40 and {r.root for r in got} == {0}

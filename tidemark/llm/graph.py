@@ -15,6 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     as far each time; rounds end when no label changes. State is written to the checkpoint folder once a round, and only
     one count reaches the driver.
     """
+    # written first: made anew for each direction, links that depend on the order of rows would not be the same both times
+    links = checkpointed(links.select(a, b))
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
     edges = checkpointed(both.filter("u <> v").distinct())
     label = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))

@@ -139,7 +139,7 @@ def link(fps: DataFrame, distance: int = DISTANCE, width: int = WIDTH, tile: int
             if roots:
                 yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(members, pa.int64())], names=["a", "b"])
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+    return tiles.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a bigint, b bigint")
 
 
 def _with_end(batches: Iterator) -> Iterator:
