@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
-from tidemark.llm.op9_substrings import op9_substrings, remove_repeats
+from tidemark.llm.op9_substrings import ORACLE, op9_substrings, remove_repeats
 
 rng = random.Random(11)
 
@@ -53,6 +54,13 @@ def test_against_brute_force(spark, docs, vocabulary):
     assert told(remove_repeats(df, window=12, gram=4, hold=50)) == brute(data, 12)
 
 
+def test_the_sql_says_the_same(docs):
+    data = rows(3, 30) + [c for c in CASES if c[0] not in (908, 909)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{docs(data)}/documents.parquet/*.parquet'")
+    assert sorted((str(r[0]), *r[1:]) for r in con.execute(ORACLE).fetchall()) == brute(data, 35)
+
+
 def test_text_and_empty(spark, docs):
     df = spark.read.parquet(docs([(1, "a b c d e f"), (2, "x c d e  y")]) + "/documents.parquet")
     got = {r.doc_id: r.kept_text for r in remove_repeats(df, window=3, gram=2, keep_text=True).collect()}

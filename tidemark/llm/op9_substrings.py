@@ -255,3 +255,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
     """Every document with what is left when passages of 35 repeated words are gone."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+y AS (SELECT row, s, array_to_string(w[s : s + 34], ' ') AS k FROM (SELECT row, w, unnest(generate_series(1, len(w) - 34)) AS s FROM d WHERE len(w) >= 35)),
+g AS (SELECT DISTINCT row, unnest(generate_series(s, s + 34)) AS p FROM y WHERE k IN (SELECT k FROM y GROUP BY k HAVING count(*) > 1)),
+n AS (SELECT row, count(*) AS gone FROM g GROUP BY row),
+l AS (SELECT row, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d),
+t AS (SELECT row, string_agg(x, ' ' ORDER BY p) AS kept FROM l ANTI JOIN g USING (row, p) GROUP BY row)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.gone, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
+"""
