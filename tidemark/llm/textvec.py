@@ -6,6 +6,8 @@ and words of code points are the same.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,9 +114,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def shared_folder(spark) -> None:
-    """Checkpoints go to the folder that the cluster names; where it names none, as in tests, to one of this session's own."""
+    """Checkpoints go to the folder that the cluster names; where it names none, to one on its default file system, or on one machine, as in tests, to a temporary one."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("checkpoints")
+        one = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints" if one else "checkpoints")
 
 
 def checkpointed(df):
