@@ -26,12 +26,16 @@ def fit_eval(daily: DataFrame, share: float = 0.7) -> DataFrame:
 
 
 def sleeve_moments(daily: DataFrame, sleeves: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(means, covariances, days) of sleeves over all dates that any has; a day without is 0. One aggregation: only sums leave Spark."""
-    wide = daily.groupBy("date").pivot("sleeve", sleeves).agg(F.sum("ret")).na.fill(0.0, sleeves)
-    cells = [F.covar_samp(a, b) for a in sleeves for b in sleeves]
-    row = wide.agg(F.count("*"), *[F.avg(f"`{s}`") for s in sleeves], *cells).first()
-    k = len(sleeves)
-    return np.array(row[1 : k + 1], float), np.array([np.nan if v is None else v for v in row[k + 1 :]], float).reshape(k, k), row[0]
+    """(means, covariances, days) of sleeves over all dates that any has; a day without is 0. One aggregation of pairs by date: only sums leave Spark."""
+    own = daily.filter(F.col("sleeve").isin(sleeves)).groupBy("date", "sleeve").agg(F.coalesce(F.sum("ret"), F.lit(0.0)).alias("ret"))
+    # a sleeve without a name, of 1 on each date: its sums with others are their totals, with itself the days
+    own = own.unionByName(daily.select("date").distinct().select("date", F.lit(None).cast("string").alias("sleeve"), F.lit(1.0).alias("ret")))
+    pairs = own.select("date", F.col("sleeve").alias("a"), F.col("ret").alias("x")).join(own.select("date", F.col("sleeve").alias("b"), F.col("ret").alias("y")), "date")
+    sums = {(r.a, r.b): r.xy for r in pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy")).collect()}
+    n = int(sums.get((None, None), 0))
+    mean = np.array([sums.get((s, None), 0.0) for s in sleeves]) / (n or np.nan)
+    both = np.array([sums.get((a, b), 0.0) for a in sleeves for b in sleeves]).reshape(len(sleeves), len(sleeves))
+    return mean, (both - n * np.outer(mean, mean)) / (n - 1 if n > 1 else np.nan), n
 
 
 def weights(mean: np.ndarray, cov: np.ndarray, mode: str = "tangency", risk_free: float = RISK_FREE / 252) -> np.ndarray:

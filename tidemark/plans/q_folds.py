@@ -242,8 +242,8 @@ def leverage_book(spark, d):
 @query("combined_sleeves")
 def combined_sleeves(spark, d):
     daily = PF.daily_returns(book(spark, d).withColumnRenamed("ticker", "sleeve"))
-    names = [r[0] for r in daily.select("sleeve").distinct().orderBy("sleeve").limit(12).collect()]
-    mean, cov, _ = PF.sleeve_moments(daily.filter(F.col("sleeve").isin(names)), names)
+    names = [r[0] for r in daily.select("sleeve").distinct().orderBy("sleeve").collect()]
+    mean, cov, _ = PF.sleeve_moments(daily, names)
     shares = PF.weights(mean, cov, "inverse_vol")
     return PF.portfolio_metrics(PF.combine(daily, dict(zip(names, shares.tolist(), strict=True))))
 
