@@ -59,3 +59,13 @@ def test_nothing_to_learn_from(spark, docs):
     got = o.op1_language(spark, docs([(1, "words here", None), (2, None, None)])).collect()
     assert {(r.doc_id, r.lang_pred, r.score) for r in got} == {(1, "und", 0.0), (2, "und", 0.0)}
     assert o.op1_language(spark, docs([])).count() == 0
+
+
+def test_every_language_is_learned(spark, docs):
+    words = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}
+    rows = [(len(words) * j + i, " ".join(rng.choices(own, k=20)), lang) for j in range(8) for i, (lang, own) in enumerate(words.items())]
+    df = spark.read.parquet(docs(rows) + "/documents.parquet")
+    model = o.train(df, "doc_id", "text", "lang")
+    assert model.languages == sorted(words)
+    got = o.predict(df.select("text", "lang"), model).collect()
+    assert {r.lang_pred for r in got} == set(words) and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)

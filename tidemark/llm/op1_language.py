@@ -8,8 +8,8 @@ mean posterior over all its words, and that mean is the score.
 
 A chain is a sentence (up to a full stop, mark or line feed), broken after 64 words. Texts are lower-cased and read whole.
 
-Training. At most SAMPLE documents with a language (about), chosen by a hash and spread over languages, and at most SAMPLE_CHARS
-characters of each, go to one task, which fits the model; only the model reaches the driver. Nothing but text and language is learned from.
+Training. Every language of the table is learned. At most SAMPLE documents with a language (about), chosen by a hash and spread over languages, but
+LEAST_SAMPLE of each language that has them, and at most SAMPLE_CHARS characters of each, go to one task, which fits the model; only the model reaches the driver. Nothing but text and language is learned from.
 
 Cases. A null text, or one with no letter, is `und` with score 0. With no document to learn from every text is. Repeated rows and null
 ids are predicted like others (a null id counts as held out). An empty table gives no rows. Other columns aren't read.
@@ -29,7 +29,8 @@ from tidemark.llm.textvec import fitted, hash_words, lowered, plain_words, slice
 
 SAMPLE = 1200
 SAMPLE_CHARS = 4000
-LANGUAGES = 64
+#: Sampled documents of a language at least (about), however many languages there are.
+LEAST_SAMPLE = 16
 CHAIN = 64
 BUCKETS = 1 << 15
 ROUNDS = 40
@@ -232,13 +233,14 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, chosen=None, sampl
     """A model of a bounded sample of the documents that have a language and meet the condition."""
     own = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("l IS NOT NULL")
     own = own.filter(chosen) if chosen is not None else own
-    sizes = [(r.l, r.n) for r in own.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()]
+    own = own.filter("t IS NOT NULL")
+    sizes = [(r.l, r.n) for r in own.groupBy("l").agg(F.count("*").alias("n")).collect()]
     if not sizes:
         return None
-    each = max(1, sample // len(sizes))
-    rate = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1.0, each / n))) for lang, n in sizes])
-    drawn = own.filter("t IS NOT NULL").filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < rate * (1 << 30))
-    rows = drawn.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * sample)
+    each = max(LEAST_SAMPLE, sample // len(sizes))
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes], "l string, rate double")
+    drawn = own.join(F.broadcast(rates), "l").filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    rows = drawn.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * max(sample, each * len(sizes)))
     return fitted(rows, lambda table: fit([(t.lower(), lang) for _, t, lang in sorted(zip(*(table.column(c).to_pylist() for c in "htl"), strict=True))]))
 
 
