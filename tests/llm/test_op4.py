@@ -24,6 +24,14 @@ def test_ids_are_those_of_the_library():
     assert [int(width[x].sum()) for x in want] == [len(t.encode()) for t in texts]
 
 
+def test_long_runs_have_the_ids_of_the_library():
+    path = bpe.public_vocabulary()
+    mixed = "".join(rng.choice([" ", "\n", "\u3000", "\x85", "\x1c", "a", "7", "?", "é"]) * rng.choice([1, 2, 999, 1000, 1001, 2500]) for _ in range(300))
+    texts = [" " * 5_000_000, "\n" * 5_000_000, "a" * 5_000_000, " \n\t" * 400_000 + "x", "\u3000 " * 100_000, mixed, mixed + "<|endoftext|>" + " " * 3000, "ab-" * 100_000 + " y", "x" + " " * 1500 + "y" * 1500 + "  z"]
+    for t in texts:
+        assert list(bpe.encoder(path)([t])[0]) == bpe.reference(path).encode(t, add_special_tokens=False).ids
+
+
 def test_pieces_round_trip(spark, docs):
     rows = [(i, text(rng.choice([1, 5, 300, 900]))) for i in range(60)] + [(100, text(6000)), (101, None), (102, ""), (103, "same"), (103, "same"), (None, "no id"), (104, text(1700))]
     got = op4_packing(spark, docs(rows)).collect()

@@ -3,16 +3,28 @@
 A tokenizer file whose merges are numbered in order after the 256 bytes, and whose splitting is the common pattern, can be
 run by `tiktoken`, which gives the same ids several times faster. Any other file is run by `tokenizers` itself. Both are
 kept for the life of a Python worker.
+
+The matcher in `tiktoken` gives up on very long runs of white space. No piece of the splitting pattern holds white space after anything
+else, so a text may be cut before any white space that follows something else without a change of ids. Where a
+word or a run of white space is long, that part is cut out so and run by `tokenizers`.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 #: Fixed values of the byte-level pre-tokenizer: its splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Words and white space of so many characters go to `tokenizers`.
+LONG = 1000
+#: The characters with the Unicode property White_Space.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SHORT_RUNS = re.compile(rf"[{_SPACE}]{{0,{LONG - 1}}}+(?:[^{_SPACE}]{{1,{LONG - 1}}}+[{_SPACE}]{{1,{LONG - 1}}}+)*+[^{_SPACE}]{{0,{LONG - 1}}}+")
+_UNIT = re.compile(rf"[{_SPACE}]*+[^{_SPACE}]{{{LONG},}}+|[{_SPACE}]{{{LONG},}}+[^{_SPACE}]*+")
+
 
 def public_vocabulary() -> str:
     """The path of the 50k byte-level vocabulary on this machine."""
@@ -34,11 +46,22 @@ def encoder(path: str):
     """A function from a list of texts to a list of id sequences."""
     spec = json.load(open(path, encoding="utf-8"))
     fast = _ranked(spec)
-    if fast is not None:
-        special = set(fast.special_tokens_set)
-        return lambda texts: [fast.encode(t, allowed_special=special) for t in texts]
     slow = reference(path)
-    return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+    if fast is None:
+        return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+    special = set(fast.special_tokens_set)
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG or _SHORT_RUNS.fullmatch(text):
+            return fast.encode(text, allowed_special=special)
+        ids, at = [], 0
+        for unit in _UNIT.finditer(text):
+            ids += fast.encode(text[at : unit.start()], allowed_special=special)
+            ids += slow.encode(unit.group(), add_special_tokens=False).ids
+            at = unit.end()
+        return ids + fast.encode(text[at:], allowed_special=special)
+
+    return lambda texts: [encode(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
@@ -62,7 +85,7 @@ def _ranked(spec: dict):
         and not spec.get("normalizer")
         and not model.get("dropout")
         and not model.get("ignore_merges")
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(rf"[{_SPACE}]", t["content"]) for t in spec.get("added_tokens", []))
     )
     if not plain:
         return None
