@@ -121,4 +121,14 @@ def test_components_of_links_that_come_out_differently_each_time(spark):
 
     links = g.coalesce(1).mapInArrow(star, "a bigint, b bigint")
     got = components(links).collect()
-    assert len(got) == 40 and {r.root for r in got} == {0}
+    assert len(got) == 40 and len({r.root for r in got}) == 1
+
+
+def test_components_of_chains_rings_and_nothing(spark):
+    from tidemark.llm.graph import components
+
+    pairs = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)] + [(-5, -5), (2000, 2001), (2001, 2000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert set(got) == {*range(201), *range(1000, 1050), 2000, 2001}
+    assert [len({got[x] for x in xs}) for xs in (range(201), range(1000, 1050), (2000, 2001))] == [1, 1, 1] and len(set(got.values())) == 3
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.textvec import WORD_BASE, hash_words, lowered, mix, plain_words, powers, slices
+from tidemark.llm.textvec import hash_words, joined, lowered, plain_words, slices
 
 STRETCH = 13
 SHARE = 0.8
@@ -63,11 +63,10 @@ def seeds(words: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
     n = len(words) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = powers(WORD_BASE, len(mask) + 1)
     total = np.full(n, k, np.uint64)
-    for i, o in enumerate(mask):
-        total += words[o : o + n] * base[i + 1]
-    return mix(total)
+    for o in mask:
+        total = joined(total, words[o : o + n])
+    return total
 
 
 def _words(texts: list[str | None]) -> list[np.ndarray]:

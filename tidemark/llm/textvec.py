@@ -8,34 +8,21 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at a time; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xC2B2AE3D27D4EB4F
-_tables: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    table = _tables.get(base)
-    if table is None or len(table) < n:
-        size = max(1 << 16, n + n // 8)
-        table = np.full(size, base % (1 << 64), np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        _tables[base] = table
-    return table[:n]
-
-
-def inverse(base: int) -> int:
-    """The inverse of an odd number modulo 2**64."""
-    return pow(base, -1, 1 << 64)
+#: Words up to so many bytes are hashed together, eight bytes a step.
+_LONG_WORD = 64
+#: The lowest bytes of a number, by how many.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,23 +69,49 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes. Each step scrambles what was read so far, so no rule of letters makes words collide; words of up to eight bytes never do if alike in length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, len(data)), out=total[1:])
-    back = powers(inverse(BYTE_BASE), len(data) + 1)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    body = np.zeros(len(data) + 8, np.uint8)
+    body[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", body, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rest, at = np.arange(len(starts)), starts
+    for step in range(0, _LONG_WORD, 8):
+        left = size[rest] - step
+        more = eight[at] & _LOW[np.minimum(left, 8)]
+        out[rest] = mix(out[rest] ^ more)
+        on = left > 8
+        rest, at = rest[on], at[on] + 8
+        if not len(rest):
+            return out
+    body = data.tobytes()
+    for i in rest.tolist():
+        out[i] = xxhash.xxh64_intdigest(body[starts[i] : ends[i]], 7)
+    return out
 
 
 def hash_windows(words: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n consecutive words; shorter input gives none."""
+    """A 64-bit hash of every n consecutive words; shorter input gives none. Runs of 1, 2, 4, ... words are hashed from two halves, and a window from the runs that its length is made of."""
     m = len(words) - n + 1
-    if m <= 0:
+    if m <= 0 or n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(WORD_BASE, len(words)), out=total[1:])
-    return mix((total[n:] - total[:m]) * powers(inverse(WORD_BASE), m))
+    out, done, run, size = None, 0, words, 1
+    while True:
+        if n & size:
+            part = run[done : done + m]
+            out = mix(part ^ np.uint64(n)) if out is None else joined(out, part)
+            done += size
+        if size * 2 > n:
+            return out
+        run = joined(run[:-size], run[size:])
+        size *= 2
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in their order."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -113,17 +126,38 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:m], x[w - have : w - have + m])
 
 
-def shared_folder(spark) -> None:
-    """Checkpoints go to the folder that the cluster names; where it names none, to one on its default file system, or on one machine, as in tests, to a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        one = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints" if one else "checkpoints")
+def shared_folder(spark) -> str:
+    """The folder that the cluster names for checkpoints. On one machine, as in tests, it is a temporary one where none is named; elsewhere that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"{tempfile.gettempdir()}/checkpoints-{spark.sparkContext.applicationId}"
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written as a table to the shared folder and read from there, so that its size is known and its lineage ends."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    held = spark.read.schema(df.schema).parquet(place)
+    held._tidemark_place = place
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `checkpointed` that nothing reads any more."""
+    for df in tables:
+        remove_folder(df.sparkSession, df._tidemark_place)
 
 
-def checkpointed(df):
-    """df, written to the shared checkpoint folder and cut off from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove_folder(spark, place: str) -> None:
+    """Deletes a folder on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _LETTERS = np.zeros(256, bool)
