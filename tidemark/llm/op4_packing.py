@@ -6,8 +6,8 @@ with the best score is chosen: the least weighted norm of the residuals left ove
 the piece's needs with the residuals. With none, a sequence is opened. Only documents longer than a sequence are cut, and
 then the first piece takes the odd tokens, so that all others fill a sequence each.
 
-Scale. Texts are encoded once, in one map stage that keeps ids only if asked to. The pieces (a few numbers each) are
-written to the checkpoint folder. Full pieces are sequences already; the others are dealt evenly by a hash of their place
+Scale. Texts are encoded once, in one map stage that keeps ids only if asked to. The pieces are numbered and
+written to the shared folder; ids aren't packed with them but joined on again by number. Full pieces are sequences already; the others are dealt evenly by a hash of their place
 in that written table to groups of a fixed size, packed in memory. The loss is at most about one part-filled sequence a group.
 
 Cases. A null or empty text is one piece with the end id alone. Repeated rows and null ids are packed like others. An
@@ -111,12 +111,14 @@ def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights
 
 
 def pack(pieces: DataFrame, capacity: tuple[int, int, int] = (SEQUENCE, DOCUMENTS, ATTENTION), weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", group: int = GROUP) -> DataFrame:
-    """Pieces with sequence_id and offset. `pieces` has length and is small per row; it is written once to the checkpoint folder."""
+    """Pieces with sequence_id and offset. `pieces` has length and may have ids; it is written once to the shared folder."""
     names = pieces.columns
-    kinds = dict(pieces.dtypes)
-    held = checkpointed(pieces).withColumn("__tm_row", F.monotonically_increasing_id())
-    full = held.filter(F.col("length") >= capacity[0]).withColumns({"sequence_id": -1 - F.col("__tm_row"), "offset": F.lit(0).cast("bigint")})
-    rest = held.filter(F.col("length") < capacity[0])
+    # numbered before it is written: numbers given on reading would depend on how the table is split then
+    held = checkpointed(pieces.withColumn("__tm_row", F.monotonically_increasing_id()))
+    small = held.drop("ids")
+    kinds = dict(small.dtypes)
+    full = small.filter(F.col("length") >= capacity[0]).withColumns({"sequence_id": -1 - F.col("__tm_row"), "offset": F.lit(0).cast("bigint")})
+    rest = small.filter(F.col("length") < capacity[0])
     groups = max(1, -(-rest.count() // group))
     dealt = rest.withColumn("__tm_group", F.pmod(F.xxhash64("__tm_row"), F.lit(groups)))
 
@@ -125,12 +127,14 @@ def pack(pieces: DataFrame, capacity: tuple[int, int, int] = (SEQUENCE, DOCUMENT
         order = np.lexsort((rows, -lengths))
         bins, offsets = vector_best_fit(lengths[order], capacity, weights, score)
         key = table.column("__tm_group")[0].as_py() << 32
-        table = table.take(pa.array(order)).select(names)
+        table = table.take(pa.array(order)).select(small.columns)
         return table.append_column("sequence_id", pa.array(bins + key)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id bigint, offset bigint"
-    packed = dealt.groupBy("__tm_group").applyInArrow(best_fit, schema)
-    return full.select(*names, "sequence_id", "offset").unionByName(packed)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in small.columns) + ", sequence_id bigint, offset bigint"
+    packed = full.unionByName(dealt.groupBy("__tm_group").applyInArrow(best_fit, schema))
+    if "ids" in names:
+        packed = packed.join(held.select("__tm_row", "ids"), "__tm_row")
+    return packed.select(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, keep_ids: bool = False, score: str = "norm") -> DataFrame:
