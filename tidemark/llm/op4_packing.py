@@ -116,7 +116,7 @@ def pack(pieces: DataFrame, capacity: tuple[int, int, int] = (SEQUENCE, DOCUMENT
     # numbered before it is written: numbers given on reading would depend on how the table is split then
     held = checkpointed(pieces.withColumn("__tm_row", F.monotonically_increasing_id()))
     small = held.drop("ids")
-    kinds = dict(small.dtypes)
+    own, kinds = small.columns, dict(small.dtypes)
     full = small.filter(F.col("length") >= capacity[0]).withColumns({"sequence_id": -1 - F.col("__tm_row"), "offset": F.lit(0).cast("bigint")})
     rest = small.filter(F.col("length") < capacity[0])
     groups = max(1, -(-rest.count() // group))
@@ -127,10 +127,10 @@ def pack(pieces: DataFrame, capacity: tuple[int, int, int] = (SEQUENCE, DOCUMENT
         order = np.lexsort((rows, -lengths))
         bins, offsets = vector_best_fit(lengths[order], capacity, weights, score)
         key = table.column("__tm_group")[0].as_py() << 32
-        table = table.take(pa.array(order)).select(small.columns)
+        table = table.take(pa.array(order)).select(own)
         return table.append_column("sequence_id", pa.array(bins + key)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in small.columns) + ", sequence_id bigint, offset bigint"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", sequence_id bigint, offset bigint"
     packed = full.unionByName(dealt.groupBy("__tm_group").applyInArrow(best_fit, schema))
     if "ids" in names:
         packed = packed.join(held.select("__tm_row", "ids"), "__tm_row")
