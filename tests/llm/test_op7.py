@@ -22,10 +22,13 @@ def base(text):
 
 def added(text):
     """By counting every window anew."""
-    t, out, b = text or "", [], base(text)
+    t, out = text or "", []
+    taken = bytearray(len(t))
+    for a, _, z in base(text):
+        taken[a:z] = b"x" * (z - a)
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t):
         c = m[0]
-        if not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(re.search(p, c) for p in s.ALLOW) or any(x < m.end() and m.start() < y for x, _, y in b):
+        if not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(re.search(p, c) for p in s.ALLOW) or any(taken[m.start() : m.end()]):
             continue
         kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "mixed" if re.search("[a-z]", c) and re.search("[A-Z]", c) else "case"
         hot = []
@@ -72,6 +75,31 @@ def test_redact(spark, docs):
     assert s.redact(df).columns == df.columns
 
 
+def test_long_texts(spark, docs):
+    """What once ended the JVM or took the square of the length."""
+    dashed, token = "ab-" * 300_000 + "1x", key(1_000_000, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    many = " ".join(f"token={key(9, 'abcd1234')} {key(24)}" for _ in range(100_000))
+    blanks, open_, spread = "password" + " " * 1_000_000 + "x", "password = '" * 50_000, ("é" * 3000 + " secret=abcdefgh12 ") * 300
+    rows = list(enumerate([dashed, token, many, blanks, open_, spread, "ab-" * 3000 + "1x"]))
+    df = spark.read.parquet(docs(rows) + "/documents.parquet")
+    say = lambda x: ",".join(f"{s.KINDS[k]}:{a}:{b}" for a, k, b in sorted(x))
+    got = {r.doc_id: r.spans for r in s.op7_secrets(spark, docs(rows)).collect()}
+    for i, t in rows:
+        quick = "entropy" not in got[i] or i in (1, 2)
+        assert quick or i == 0
+        if i == 1:
+            assert got[i] == f"entropy:0:{len(t)}"
+        else:
+            assert got[i] == say(base(t) + added(t))
+    marked = {r.doc_id: r.text for r in s.redact(df).collect()}
+    assert marked[5] == ("é" * 3000 + " [SECRET] ") * 300 and marked[3] == blanks
+    want, at = [], 0
+    for a, _, b in sorted(base(many) + added(many)):
+        want += [many[at:a]] if a >= at else []
+        at = max(at, b)
+    assert marked[2] == "[SECRET]".join([*want, many[at:]])
+
+
 def test_no_shuffle_and_no_python(spark, docs):
     plan = s.op7_secrets(spark, docs([(1, "x")]))._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
