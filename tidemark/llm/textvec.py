@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -148,6 +149,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return held
 
 
+#: Bits of the screen that `screened` sends to every task: 2 MB, whatever it is made of.
+SCREEN_BITS = 1 << 24
+
+
+def screened(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with a column __tm_maybe: true where the key (a 64-bit hash) is one of `keys`, and for the others only by chance.
+
+    The screen is a bitmap of fixed size, at most SCREEN_BITS / 64 rows of two numbers, so it may be broadcast. The more keys there are the less it
+    sorts out; what passes is still to be joined.
+    """
+    bit = F.pmod(F.col(key), F.lit(SCREEN_BITS))
+    words = keys.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("__tm_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("__tm_bits"))
+    found = rows.withColumn("__tm_word", F.expr(f"pmod(`{key}`, {SCREEN_BITS}) div 64")).join(F.broadcast(words), "__tm_word", "left")
+    maybe = F.expr(f"coalesce(shiftright(`__tm_bits`, cast(pmod(`{key}`, {SCREEN_BITS}) % 64 AS int)) & 1L, 0L) = 1L")
+    return found.withColumn("__tm_maybe", maybe).drop("__tm_word", "__tm_bits")
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of `checkpointed` that nothing reads any more."""
     for df in tables:
