@@ -3,9 +3,12 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.op9_substrings import ORACLE, op9_substrings, remove_repeats
+from tidemark.llm import op9_substrings as op9
+from tidemark.llm.op9_substrings import ORACLE, op9_substrings, remove_repeats, subtree
 
 rng = random.Random(11)
 
@@ -51,7 +54,37 @@ def test_against_brute_force(spark, docs, vocabulary):
     d = docs(data)
     assert told(op9_substrings(spark, d)) == brute(data, 35)
     df = spark.read.parquet(f"{d}/documents.parquet")
-    assert told(remove_repeats(df, window=12, gram=4, hold=50)) == brute(data, 12)
+    for group, held in ((16384, 1 << 25), (2, 3000), (0, 1 << 25), (16384, 100)):
+        assert told(remove_repeats(df, window=12, gram=4, group=group, held=held)) == brute(data, 12)
+    assert told(remove_repeats(df, window=35, group=3)) == brute(data, 35)
+
+
+def test_bitmaps_that_are_full(spark, docs, monkeypatch):
+    data = rows(40, 60) + CASES
+    df = spark.read.parquet(f"{docs(data)}/documents.parquet")
+    monkeypatch.setattr(op9, "REPEATED_BITS", 6)
+    monkeypatch.setattr(op9, "LENGTHENED_BITS", 7)
+    assert told(remove_repeats(df, window=12, gram=4, group=4)) == brute(data, 12)
+
+
+def test_words_made_to_collide(spark, docs):
+    """Words, and windows of words, whose sums with powers modulo 2**64 are equal."""
+    turns = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[t ^ s] for t in turns) for s in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(34))
+    data = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, " ".join("xy"[t] for t in turns)), (4, " ".join("yx"[t] for t in turns))]
+    got = told(op9_substrings(spark, docs(data)))
+    assert got == brute(data, 35) and [r[2] for r in got[:2]] == [0, 0]
+
+
+def test_subtree_against_counts():
+    for depth in (1, 2, 3, 8, 12, 35):
+        sizes = np.array([rng.choice([0, 1, 5, 40, 90]) for _ in range(30)])
+        words = [rng.choice(["a", "b", "longer"]) if rng.random() < 0.97 else f"w{rng.randrange(50)}" for _ in range(int(sizes.sum()))]
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        held = [tuple(words[i : i + depth]) if i + depth <= z else None for a, z in zip(at[:-1], at[1:], strict=True) for i in range(a, z)]
+        seen = Counter(h for h in held if h)
+        assert subtree(pa.array(words, pa.large_binary()), sizes, depth).tolist() == [h is not None and seen[h] > 1 for h in held]
 
 
 def test_the_sql_says_the_same(docs):

@@ -1,22 +1,28 @@
-"""Removal of passages that repeat: prefix-partitioned suffix trees, cut off at the depth that matters.
+"""Removal of passages that repeat: prefix-partitioned suffix trees over words.
 
-Method. A window of WINDOW words repeats if the suffixes that start at two places share that many words: if they are leaves below
-one internal node of that depth or more in the suffix tree of all texts. Deeper nodes add nothing, so every suffix is followed to
-that depth only, and nodes are named by hashes of their path instead of by their words. Suffixes are split by prefixes of two lengths:
+Method. A window of WINDOW words repeats if the suffixes that start at two places are leaves below one internal node of that depth or more
+in the suffix tree of all texts. The tree is made in parts, each in memory, from the words themselves:
 
-1. The coarse prefix of a window is the least hash among the GRAM-word sequences inside it. Equal windows have equal coarse prefixes, and
-   neighbouring windows mostly share theirs, so a text has few. Subtrees under a coarse prefix that occurs once have no
-   internal node and are dropped here, unseen by the next step.
-2. Suffixes in the other subtrees are split by their full prefix of WINDOW words. A node with two leaves is a repeat; runs of
-   neighbouring leaves that repeat are the maximal repeats, whose words go.
+1. Suffixes are split by prefixes. A window holds WINDOW - GRAM + 1 suffixes long enough to have a prefix of GRAM words inside it, and is filed under the
+   prefix with the least hash, its anchor. Equal windows have equal anchors and neighbours mostly share theirs, so a stretch of
+   windows with one anchor travels as one run of words. Prefixes are counted first; those that occur once lead to no internal node, and their
+   stretches stay where they are.
+2. A prefix that more than GROUP stretches hold is lengthened to the whole window, and its windows travel one by one. So a group is of at most about GROUP
+   stretches, or of windows that are all alike.
+3. In each group the subtree is built from the top down, level by level: suffixes that share a node are split by the words that follow, with the
+   ranks of twice as many words each time, and those alone under a node are leaves and looked at no more. What is left at
+   depth WINDOW lies below internal nodes. Runs of neighbouring windows that repeat are the maximal repeats, whose words go.
 
-Scale. A task first brings together what it has read itself: a prefix that it holds twice is known to repeat, and only one of its
-holders is sent to the others. So no group is larger than the number of tasks, however many documents hold a passage. Groups are
-streamed in sorted order. Only the texts travel whole, once for both joins, keyed by their hash and length; copies share a key and are
-worked on once. Everything is one plan with no driver state.
+Hashes only choose where words are compared: words are told apart by their bytes, and nothing is removed that hasn't been compared.
+
+Scale. Which prefixes repeat, and which are lengthened, is sent to the tasks as two bitmaps of fixed size. With more prefixes than they can tell apart,
+some stretches travel that needn't, or as single windows; all tasks see the same bitmaps, so equal windows always meet. A task first brings together
+what it has read itself: of stretches alike, one is sent, marked as known to repeat, and the others are settled. So no group holds a
+window more often than there are tasks (or portions of HELD bytes). Texts are shuffled once, and only those that may have lost something, to a join whose sides
+are both read from tables, so that a text with very many copies is split over tasks.
 
 Cases. Null, empty and shorter texts lose nothing; a null text has no words and the hash of the empty text. Copies of a text, repeated rows
-among them, are repeats of each other. Null ids come out like others. An empty table gives no rows. Other columns aren't
+among them, are repeats of each other. Texts are known by two hashes of 64 bits. Null ids come out like others. An empty table gives no rows. Other columns aren't
 read. Texts of any length are read whole.
 """
 
@@ -31,17 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textvec import hash_windows, hash_words, mix, slices, sliding_min, split_words
+from tidemark.llm.textvec import checkpointed, hash_windows, hash_words, mix, release, screened, slices, sliding_min, split_words
 
 WINDOW = 35
 GRAM = 8
-#: Prefixes that a task holds before it sends them on.
-HELD = 1_000_000
+#: Stretches under one prefix that a group may hold.
+GROUP = 16384
+#: Windows of a stretch.
+STRETCH = 512
+#: Bytes of words, or prefixes, that a task holds before it sends them on.
+HELD = 1 << 25
+#: Bits of the maps of prefixes that repeat and of prefixes that are lengthened.
+REPEATED_BITS, LENGTHENED_BITS = 26, 22
 ALONE, KNOWN, TOLD = 0, 1, 2  # not seen twice yet; seen twice, sent for others to meet; seen twice, sent to its text only
 
 
-def coarse(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(word hashes, first word of each text, window starts, coarse prefix of each window, whether it is there twice in its window)."""
+def anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(word hashes, first word of each text, window starts, anchor of each window, whether it is there twice in its window)."""
     starts, ends, first = split_words(data, offs)
     words = hash_words(data, starts, ends)
     span = window - gram + 1
@@ -56,188 +68,235 @@ def coarse(data: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[
     return words, first, at, mix(least & ~low), (least & low) != low - (other & low)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
+def _stretches(first: np.ndarray, starts: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows) of the longest runs of windows with one anchor; windows are given by index."""
+    text = np.searchsorted(first, starts, side="right") - 1
+    new = np.concatenate(([True], (m[1:] != m[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    begin = np.flatnonzero(new)
+    return text[begin], begin, np.diff(np.concatenate((begin, [len(m)])))
 
-def _settle(keys: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """The state of each holder of a key within a task; sure: known to repeat by itself."""
-    order = np.lexsort((~sure, keys))
-    k = keys[order]
-    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    size = np.diff(np.concatenate((np.flatnonzero(new), [len(k)])))
-    twice = np.repeat((size > 1) | sure[order][new], size)
-    state = np.empty(len(keys), np.int8)
-    state[order] = np.where(twice, np.where(new, KNOWN, TOLD), ALONE)
-    return state
 
+def count_prefixes(texts: DataFrame, window: int, gram: int, held: int = HELD) -> DataFrame:
+    """(m, n): stretches under each anchor; one that comes back within a stretch counts twice at least. texts: (text)."""
 
-def _met(batches: Iterator[pa.RecordBatch], key: int, state: int) -> Iterator[pa.Table]:
-    """Rows, sorted by key, whose key repeats: told so, or with another holder or one that knows."""
-    held: pa.Table | None = None
-
-    def judge(table: pa.Table) -> pa.Table:
-        k, s = table.column(key).to_numpy(), table.column(state).to_numpy()
-        meets = np.flatnonzero(s != TOLD)
-        keep = s == TOLD
-        if len(meets):
-            own = k[meets]
-            new = np.concatenate(([True], own[1:] != own[:-1]))
-            group = np.cumsum(new) - 1
-            repeat = (np.bincount(group) > 1) | (np.bincount(group, s[meets] == KNOWN) > 0)
-            keep[meets] = repeat[group]
-        return table.filter(pa.array(keep))
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        if not table.num_rows:
-            continue
-        route = table.column(0).to_numpy()
-        cut = int(np.searchsorted(route, route[-1]))
-        held = table.slice(cut)
-        if cut:
-            yield judge(table.slice(0, cut))
-    if held is not None:
-        yield judge(held)
-
-
-def repeated_prefixes(texts: DataFrame, window: int, gram: int, hold: int) -> DataFrame:
-    """(k, size, prefixes): the coarse prefixes of each text that occur elsewhere too. texts: (k, size, text)."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if kept:
-                m, k, size, sure = map(np.concatenate, zip(*kept, strict=True))
+                m, n = map(np.concatenate, zip(*kept, strict=True))
                 kept.clear()
-                state = _settle(m, sure)
-                route = np.where(state == TOLD, mix(k.view(np.uint64) ^ m), m)
-                yield pa.RecordBatch.from_arrays([_signed(route), _signed(m), pa.array(state), pa.array(k), pa.array(size)], names=["route", "m", "state", "k", "size"])
+                own, at = np.unique(m, return_inverse=True)
+                total = np.zeros(len(own), np.int64)
+                np.add.at(total, at, n)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(total)], names=["m", "n"])
 
-        count = 0
+        size = 0
         for batch in batches:
-            keys, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, data, offs in slices(batch.column(2)):
-                _, first, starts, m, tied = coarse(data, offs, window, gram)
+            for _, data, offs in slices(batch.column(0)):
+                _, first, starts, m, tied = anchors(data, offs, window, gram)
                 if not len(m):
                     continue
-                text = np.searchsorted(first, starts, side="right") - 1
-                new = np.concatenate(([True], (m[1:] != m[:-1]) | (text[1:] != text[:-1])))
-                begin = np.flatnonzero(new)
-                # a prefix that is twice in a window, spans more windows than one sequence can, or comes back, is there twice in its text
-                more = (np.diff(np.concatenate((begin, [len(m)]))) > window - gram + 1) | np.maximum.reduceat(tied, begin)
-                m, text = m[begin], text[begin]
-                order = np.lexsort((m, text))
-                om, ot = m[order], text[order]
-                head = np.concatenate(([True], (om[1:] != om[:-1]) | (ot[1:] != ot[:-1])))
-                group = np.cumsum(head) - 1
-                sure = (np.bincount(group) > 1) | np.maximum.reduceat(more[order], np.flatnonzero(head))
-                own = ot[head] + at
-                kept.append((om[head], keys[own], sizes[own], sure))
-                count += len(own)
-                if count >= hold:
-                    count = 0
+                _, begin, length = _stretches(first, starts, m)
+                # a prefix that is twice in a window, or spans more windows than one sequence can, is there twice
+                sure = (length > window - gram + 1) | np.maximum.reduceat(tied, begin)
+                kept.append((m[begin], np.maximum(-(-length // STRETCH), np.where(sure, 2, 1))))
+                size += 16 * len(begin)
+                if size >= held:
+                    size = 0
                     yield from flush()
         yield from flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _met(batches, 1, 2):
-            yield from table.select(["k", "size", "m"]).to_batches()
+    return texts.select("text").mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n"))
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A map of the highest bits of 64-bit keys, of a size that doesn't depend on them."""
+    bit = F.shiftrightunsigned("m", 64 - bits)
+    words = keys.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("held")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("held").to_numpy()
+    return out.view(np.uint64)
+
+
+def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def subtree(words: pa.Array, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes with `depth` words or more lie below internal nodes of that depth, as a mask over all words.
+
+    words: the words of some stretches, one stretch after another; sizes: the words of each. Ranks name the nodes of a level. A
+    suffix alone under its node keeps that name, which no other has, so whatever it is part of is alone as well.
+    """
+    ids = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    n = len(ids)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # words to the end of the stretch
+    rank, next_name, level = ids, int(ids.max(initial=0)) + 1, 1
+    if depth == 1:
+        return np.bincount(ids)[ids] > 1
+    live = np.flatnonzero(np.bincount(rank, minlength=next_name)[rank] > 1)
+    while level < depth and len(live):
+        step = min(level, depth - level)
+        live = live[room[live] >= level + step]
+        key = rank[live] * next_name + rank[live + step]
+        own, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        rank = rank.copy()
+        rank[live] = next_name + at
+        next_name += len(own)
+        live = live[count[at] > 1]
+        level += step
+    out = np.zeros(n, bool)
+    out[live] = True
+    return out
+
+
+def _settled(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(k, k2, runs) of stretches that repeat, of sorted (route, state, k, k2, start, n, words). A run is its first window and how many."""
+    held: list[pa.Table] = []
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        state, start, n = (table.column(c).to_numpy() for c in ("state", "start", "n"))
+        row, at, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sure = np.flatnonzero(state != ALONE)
+        row.append(sure)
+        at.append(start[sure])
+        length.append(n[sure])
+        sent = np.flatnonzero(state != TOLD)
+        if len(sent):
+            column = table.column("words").take(pa.array(sent)).combine_chunks()
+            column = column.cast(pa.large_binary())
+            body = b" ".join(column.to_pylist()) + b" "
+            data = np.frombuffer(body, np.uint8)
+            starts, _, _ = split_words(data, np.array([0, len(data)]))
+            edges = np.concatenate((starts, [len(data)])).astype(np.int64)
+            # each word with the blank after it
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(body)])
+            sizes = n[sent] + window - 1
+            below = subtree(words, sizes, window)
+            owner, place = np.repeat(np.arange(len(sent)), sizes), np.arange(len(starts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = np.flatnonzero(below & (state[sent] == ALONE)[owner])
+            if len(hit):
+                new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])))
+                begin = np.flatnonzero(new)
+                row.append(sent[owner[hit[begin]]])
+                at.append((start[sent][owner] + place)[hit[begin]])
+                length.append(np.diff(np.concatenate((begin, [len(hit)]))))
+        row, at, length = map(np.concatenate, (row, at, length))
+        runs = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * 2), pa.array(np.stack((at, length), axis=1).ravel().astype(np.int32)))
+        keys = [table.column(c).combine_chunks().take(pa.array(row)) for c in ("k", "k2")]
+        return pa.RecordBatch.from_arrays([*keys, runs], names=["k", "k2", "runs"])
 
-    sent = texts.select("k", "size", "text").mapInArrow(send, "route bigint, m bigint, state tinyint, k bigint, size int")
-    met = sent.repartition("route").sortWithinPartitions("route", "m").mapInArrow(meet, "k bigint, size int, m bigint")
-    return met.groupBy("k", "size").agg(F.collect_set("m").alias("prefixes"))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        route = table.column("route").to_numpy()
+        cut = int(np.searchsorted(route, route[-1]))
+        if cut or (held and held[0].column("route")[0].as_py() != route[0]):
+            yield judge(pa.concat_tables([*held, table.slice(0, cut)]))
+            held = []
+        held.append(table.slice(cut))
+    if held:
+        yield judge(pa.concat_tables(held))
 
 
-def repeated_windows(texts: DataFrame, window: int, gram: int, hold: int) -> DataFrame:
-    """(k, size, starts): where repeated windows start. texts: (k, size, text, prefixes), and doc_id, which keeps its shuffle the same as the last step's."""
+def repeated_windows(texts: DataFrame, repeated: np.ndarray, lengthened: np.ndarray, window: int, gram: int, held: int = HELD) -> DataFrame:
+    """(k, k2, runs): where windows that repeat are in each text. texts: (k, k2, text)."""
+    maps = texts.sparkSession.sparkContext.broadcast((repeated, lengthened))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
-        place: dict[tuple[int, int], int] = {}
-        copies: set[int] = set()
+        rows: list[list] = []  # route, state, k, k2, start, n, words
+        seen: dict[bytes, int] = {}
+        place: dict[tuple[int, int], list[int]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if kept:
-                w, text, start = map(np.concatenate, zip(*kept, strict=True))
-                k, size = (np.array(x) for x in zip(*place, strict=True))
-                state = _settle(w, np.isin(text, list(copies)))
-                send_on = state != TOLD
-                lone = np.flatnonzero(send_on)
-                yield _windows(w[lone], state[lone], k[text[lone]], size[text[lone]], start[lone], np.arange(len(lone) + 1))
-                # what is known goes to its text as one list, with the holders that were sent on too
-                sure = np.flatnonzero(state == TOLD)
-                sure = sure[np.argsort(text[sure], kind="stable")]
-                begin = np.flatnonzero(np.diff(text[sure], prepend=-1))
-                own = text[sure][begin]
-                yield _windows(mix(k[own].view(np.uint64)), np.full(len(own), TOLD, np.int8), k[own], size[own], start[sure], np.concatenate((begin, [len(sure)])))
-                kept.clear()
-                place.clear()
-                copies.clear()
-
-        count = 0
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                types = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            rows.clear()
+            seen.clear()
+            place.clear()
+
+        def add(own: tuple[int, int], route: int, start: int, n: int, body: bytes) -> int:
+            before = seen.get(body)
+            if before is not None:
+                rows[before][1] = KNOWN
+                rows.append([route, TOLD, *own, start, n, None])
+                return 40
+            seen[body] = len(rows)
+            place[own].append(len(rows))
+            rows.append([route, ALONE, *own, start, n, body])
+            return 40 + len(body)
+
+        size = 0
         for batch in batches:
-            keys, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for at, data, offs in slices(batch.column(2)):
-                words, first, starts, m, _ = coarse(data, offs, window, gram)
-                full = hash_windows(words, window)
-                edge = np.searchsorted(starts, first)
-                for i in range(len(offs) - 1):
-                    key = (keys[at + i], sizes[at + i])
-                    if key in place:
-                        copies.add(place[key])
+                hashed, first, starts, m, _ = anchors(data, offs, window, gram)
+                pick = np.flatnonzero(_in(maps.value[0], m))
+                if not len(pick):
+                    continue
+                starts, m = starts[pick], m[pick]
+                long = _in(maps.value[1], m)
+                # windows that travel alone go by all their words
+                route = np.where(long, hash_windows(hashed, window)[starts], m).view(np.int64)
+                text, begin, length = _stretches(first, starts, np.where(long, route.view(np.uint64), m))
+                words, of = [], -1
+                body = data.tobytes()
+                for t, b, n in zip(text.tolist(), begin.tolist(), length.tolist(), strict=True):
+                    own = keys[at + t]
+                    if t != of:
+                        of, copy = t, own in place
+                        if copy:  # a copy of a text of this portion: what the first sent is known to repeat
+                            for i in place[own]:
+                                rows[i][1] = KNOWN
+                        else:
+                            place[own] = []
+                            words = body[offs[t] : offs[t + 1]].split()
+                    if copy:
                         continue
-                    place[key] = number = len(place)
-                    own = np.arange(edge[i], edge[i + 1])
-                    own = own[np.isin(m[own], np.array(batch.column(3)[at + i].as_py(), np.int64).view(np.uint64))]
-                    s = starts[own]
-                    kept.append((full[s], np.full(len(s), number), s - first[i]))
-                    count += len(s)
-                if count >= hold:
-                    count = 0
+                    begins = int(starts[b] - first[t])
+                    most = 1 if long[b] else STRETCH
+                    for a in range(begins, begins + n, most):
+                        some = min(most, begins + n - a)
+                        size += add(own, int(route[b]), a, some, b" ".join(words[a : a + some + window - 1]))
+                if size >= held:
+                    size = 0
                     yield from flush()
         yield from flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _met(batches, 0, 1):
-            yield from table.select(["k", "size", "starts"]).to_batches()
-
-    schema = "route bigint, state tinyint, k bigint, size int, starts array<int>"
-    sent = texts.select("k", "size", "text", "prefixes", "doc_id").mapInArrow(send, schema)
-    met = sent.repartition("route").sortWithinPartitions("route").mapInArrow(meet, "k bigint, size int, starts array<int>")
-    return met.groupBy("k", "size").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-
-
-def _windows(route: np.ndarray, state: np.ndarray, k: np.ndarray, size: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(starts.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([_signed(route), pa.array(state), pa.array(k, pa.int64()), pa.array(size, pa.int32()), lists], names=["route", "state", "k", "size", "starts"])
+    names = ["route", "state", "k", "k2", "start", "n", "words"]
+    sent = texts.select("k", "k2", "text").mapInArrow(send, "route bigint, state tinyint, k bigint, k2 bigint, start int, n int, words binary")
+    # what is settled needn't meet others, so it goes wherever its text does
+    dealt = sent.withColumn("route", F.when(F.col("state") == TOLD, F.xxhash64("k", "start")).otherwise(F.col("route")))
+    met = dealt.repartition("route").sortWithinPartitions("route").mapInArrow(lambda batches: _settled(batches, window), "k bigint, k2 bigint, runs array<int>")
+    return met.groupBy("k", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hold: int = HELD, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, held: int = HELD, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and kept_text if asked for, of every document."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumns({"k": F.xxhash64("text"), "size": F.octet_length("text")})
-    prefixes = repeated_prefixes(own, window, gram, hold)
-    some = own.join(prefixes.hint("shuffle_hash"), ["k", "size"])
-    gone = repeated_windows(some, window, gram, hold)
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    own = own.withColumns({"k": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    counts = checkpointed(count_prefixes(own, window, gram, held).filter("n > 1"))
+    gone = checkpointed(repeated_windows(own, _bitmap(counts, REPEATED_BITS), _bitmap(counts.filter(F.col("n") > group), LENGTHENED_BITS), window, gram, held))
+    release(counts)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, digest, kept = [], [], [], []
-            for body, at in zip(batch.column(1), batch.column(2), strict=True):
-                words = body.as_py().encode()
-                words = words.split()
+            for body, runs in zip(batch.column(1), batch.column(2), strict=True):
+                words = body.as_py().encode().split()
                 n = len(words)
-                if at.is_valid:
+                if runs.is_valid:
                     cover = np.zeros(n + 1, np.int64)
-                    start = np.unique(at.values.to_numpy())
-                    start = start[start + window <= n]
-                    cover[start] += 1
-                    np.subtract.at(cover, start + window, 1)
+                    start, length = runs.values.to_numpy().reshape(-1, 2).T
+                    np.add.at(cover, start, 1)
+                    np.subtract.at(cover, start + length + window - 1, 1)
                     words = list(compress(words, (np.cumsum(cover[:-1]) == 0).tolist()))
                 joined = b" ".join(words)
                 total.append(n)
@@ -248,8 +307,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * keep_text, names=names)
 
-    out = own.join(gone.hint("shuffle_hash"), ["k", "size"], "left").select("doc_id", "text", "starts")
-    return out.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text)
+    own = screened(own, gone, "k")
+    whole = own.filter("NOT __tm_maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("runs"))
+    cut = own.filter("__tm_maybe").join(gone, ["k", "k2"], "left").select("doc_id", "text", "runs")
+    return whole.union(cut).mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
