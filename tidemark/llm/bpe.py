@@ -46,9 +46,8 @@ def encoder(path: str):
     """A function from a list of texts to a list of id sequences."""
     spec = json.load(open(path, encoding="utf-8"))
     fast = _ranked(spec)
-    slow = reference(path)
     if fast is None:
-        return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in reference(path).encode_batch(texts, add_special_tokens=False)]
     special = set(fast.special_tokens_set)
 
     def encode(text: str) -> list[int]:
@@ -57,7 +56,7 @@ def encoder(path: str):
         ids, at = [], 0
         for unit in _UNIT.finditer(text):
             ids += fast.encode(text[at : unit.start()], allowed_special=special)
-            ids += slow.encode(unit.group(), add_special_tokens=False).ids
+            ids += reference(path).encode(unit.group(), add_special_tokens=False).ids
             at = unit.end()
         return ids + fast.encode(text[at:], allowed_special=special)
 
