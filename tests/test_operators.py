@@ -182,7 +182,6 @@ def test_kernels():
     f = frame(200)
     assert set(np.unique(K.psar(f)[1])) <= {-1.0, 0.0, 1.0} and K.psar(f.head(2))[1].tolist() == [0, 0]
     assert np.isfinite(K.t3(ramp, 3).iloc[-1]) and np.isfinite(K.tema(ramp, 5).iloc[-1])
-    assert np.isclose(SG.curvature(np.cumsum(np.random.default_rng(1).normal(size=(50, 4)), axis=0)).shape[0], 50)
 
 
 def test_nulls_zero_ranges_and_gaps(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
 
+# The fee of a trade, and the stops and targets of a grid in mean ranges.
 FEE_BPS = 7.0
 STOP_GRID = tuple((s, t) for s in (1.0, 1.5, 2.0) for t in (1.5, 2.0, 3.0, 4.0))
 TRADES = "entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction int, entry_price double, exit_price double, reason string, pnl double, ret double"

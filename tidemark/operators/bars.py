@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,34 @@ def trim_gaps(bars: DataFrame, days: float = 31) -> DataFrame:
     return kept.select(*bars.columns)
 
 
+def clean(bars: DataFrame, tie=("open", "high", "low", "close"), k: float = 12.0, days: float = 31) -> tuple[DataFrame, DataFrame]:
+    """(clean bars, counters): one bar a time, prices repaired, spikes dropped, and what lies before the last long gap cut off.
+
+    counters has a row per instrument: bars that came in, that were doubles, without a price, changed by the repair, spikes, before the gap, and that are left.
+    """
+    one = keep_one(bars, ("ticker", "ts"), tie)
+    marked = one.withColumns({f"_{c}": F.col(c) for c in ("open", "high", "low")})
+    fixed = repair(marked)
+    changed = F.lit(False)
+    for c in ("open", "high", "low"):
+        changed |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    calm = drop_spikes(fixed.select(*bars.columns), k)
+    kept = trim_gaps(calm, days)
+    steps = {"bars_in": bars, "singles": one, "priced": fixed, "fixed": fixed.filter(changed), "calm": calm, "bars_out": kept}
+    counts = None
+    for name, df in steps.items():
+        n = df.groupBy("ticker").agg(F.count("*").alias(name))
+        counts = n if counts is None else counts.join(n, "ticker", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return kept, counts.select("ticker", "bars_in", (z("bars_in") - z("singles")).alias("doubles"), (z("singles") - z("priced")).alias("unpriced"), z("fixed").alias("fixed"), (z("priced") - z("calm")).alias("spikes"), (z("calm") - z("bars_out")).alias("before_gap"), z("bars_out").alias("bars_out"))
+
+
+def resample_all(bars: DataFrame, timeframes=("4h", "daily", "weekly")) -> DataFrame:
+    """Bars of several timeframes in one table, told apart by a column."""
+    parts = [resample(bars, t).withColumn("timeframe", F.lit(t)) for t in timeframes]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def calendar(bars: DataFrame, step: str = "INTERVAL 1 HOUR") -> DataFrame:
     """A row for every step between each series' ends, empty where there is no bar."""
     ends = bars.groupBy("ticker").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))

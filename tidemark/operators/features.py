@@ -6,7 +6,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
@@ -134,7 +134,7 @@ def cyclical_time(bars: DataFrame, ts: str = "ts") -> DataFrame:
 def microstructure(bars: DataFrame) -> DataFrame:
     """bars with range and body shares and the change of volume against its instrument's mean; 0 where unknown."""
     p = Panel(bars)
-    mean = F.avg("volume").over(p.base().rowsBetween(-(1 << 62), 1 << 62))
+    mean = F.avg("volume").over(Window.partitionBy(*p.keys))
     out = {"range_pct": ratio(F.col("high") - F.col("low"), "close"), "body_pct": ratio(F.col("close") - F.col("open"), "open"), "volume_change": p.change("volume"), "volume_ratio": ratio("volume", mean)}
     for n, v in out.items():
         p.let(F.coalesce(finite(v), F.lit(0.0)), n)

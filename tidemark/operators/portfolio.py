@@ -103,6 +103,11 @@ def best_in_sample(scores: DataFrame, by, objective: str = "sharpe", tie: str =
     return scores.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def finalists(scores: DataFrame, by, least: int = 10, objective: str = "mean", count: str = "n", tie: str = "param_id") -> DataFrame:
+    """The best parameters of each group among those with enough trades; the first in order of a tie-breaker."""
+    return best_in_sample(scores.filter(F.col(count) >= least), by, objective, tie)
+
+
 def walk_forward(scores: DataFrame, by=("ticker",), split: str = "split", objective: str = "sharpe", param: str = "param_id") -> DataFrame:
     """For each split the best parameters of it, and their figures in the next. scores: one row per group, split and parameters."""
     figures = [c for c in scores.columns if c not in {*by, split, param}]

@@ -109,14 +109,29 @@ def sizing_stage(position, rank: Column) -> Column:
     return col(position) * F.coalesce(2 * rank, F.lit(1.0))
 
 
-def past_share(scores: DataFrame, reference: DataFrame, score="score", out="share") -> DataFrame:
-    """scores with the share of reference values at or under each. Values are counted first, so the global order has one row per value."""
-    a = reference.filter(col(score).isNotNull()).groupBy(col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    b = scores.filter(col(score).isNotNull()).select(col(score).alias("_s")).distinct()
-    w = Window.orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    line = a.join(b, "_s", "full").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    line = line.select("_s", (F.sum("_n").over(w) / F.sum("_n").over(Window.partitionBy())).alias(out))
-    return scores.join(line.withColumnRenamed("_s", score), score, "left")
+def past_share(scores: DataFrame, reference: DataFrame, score="score", out="share", parts: int = 256) -> DataFrame:
+    """scores with the share of reference values at or under each.
+
+    Values are dealt to ranges between approximate quantiles, so each range is ordered by itself; how many reference values lie below a range is a sum over as many rows as there are ranges.
+    """
+    known = reference.filter(col(score).isNotNull()).select(col(score).cast("double").alias("_s"))
+    cuts = sorted({float(x) for x in known.approxQuantile("_s", [i / parts for i in range(1, parts)], 0.5 / parts)})
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_s"))) if cuts else F.lit(0)
+    a = known.groupBy("_s").agg(F.count("*").alias("_n"))
+    b = scores.filter(col(score).isNotNull()).select(col(score).cast("double").alias("_s")).distinct()
+    line = a.join(b, "_s", "full").select("_s", F.coalesce("_n", F.lit(0)).alias("_n"), at.alias("_part"))
+    sizes = a.withColumn("_part", at).groupBy("_part").agg(F.sum("_n").alias("_own"))
+    below = sizes.select(F.col("_part").alias("_below"), F.col("_own").alias("_less")).crossJoin(F.broadcast(spread(scores.sparkSession, len(cuts) + 1)))  # ranges by ranges
+    base = below.groupBy("_part").agg(F.sum(F.when(F.col("_below") < F.col("_part"), F.col("_less")).otherwise(0)).alias("_before"), F.sum("_less").alias("_total"))
+    w = Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = line.withColumn("_n", F.sum("_n").over(w)).join(F.broadcast(base), "_part", "left")  # a row for each range
+    ranked = ranked.select("_s", ((F.col("_before") + F.col("_n")) / F.col("_total")).alias(out))
+    return scores.withColumn("_s", col(score).cast("double")).join(ranked, "_s", "left").drop("_s")
+
+
+def spread(spark, n: int) -> DataFrame:
+    """(_part): the numbers of n ranges."""
+    return spark.range(n).select(F.col("id").cast("int").alias("_part"))
 
 
 def percent_rank_average(p_df: DataFrame, at: str, value: str, out: str = "rank") -> DataFrame:

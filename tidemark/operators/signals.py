@@ -257,11 +257,30 @@ def rainflow(bars: DataFrame, n: int = 42, least: float = 0.5) -> DataFrame:
     return K.fold(bars, {"signal": "int"}, lines)
 
 
-def curvature(log_prices: np.ndarray) -> np.ndarray:
-    """Curvature of the path of the first three principal components: |v x a| / |v|^3."""
-    x = log_prices - log_prices.mean(axis=0)
-    _, _, axes = np.linalg.svd(x, full_matrices=False)
-    path = x @ axes[:3].T
-    v = np.gradient(path, axis=0)
-    return np.linalg.norm(np.cross(v, np.gradient(v, axis=0)), axis=1) / np.maximum(np.linalg.norm(v, axis=1), 1e-12) ** 3
-
+def curvature(prices: DataFrame, instruments: list[str], ts: str = "ts") -> DataFrame:
+    """(ts, curvature) of the path of the first three principal components of log prices: |v x a| / |v|^3, with central differences.
+
+    prices has a row per time and a column per instrument; rows with a price missing go. Moments are summed in Spark and only the
+    k x k covariance reaches the driver; the path and its differences are expressions.
+    """
+    logs = {f"_l{i}": F.log(F.col(f"`{c}`")) for i, c in enumerate(instruments)}
+    rows = prices.na.drop(subset=instruments).select(ts, *[v.alias(n) for n, v in logs.items()])
+    names = list(logs)
+    got = rows.agg(F.count("*"), *[F.avg(n) for n in names], *[F.covar_pop(a, b) for a in names for b in names]).first()
+    k = len(names)
+    if not got[0]:
+        return rows.select(ts, F.lit(None).cast("double").alias("curvature"))
+    mean, cov = np.array(got[1 : 1 + k], float), np.array(got[1 + k :], float).reshape(k, k)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :3].T
+    path = rows.select(ts, *[sum(((F.col(n) - float(m)) * float(x) for n, m, x in zip(names, mean, axis, strict=True)), F.lit(0.0)).alias(f"x{i}") for i, axis in enumerate(axes)])
+    p = Panel(path.withColumn("_one", F.lit(1)), ("_one",), (ts,))  # one row a time
+
+    def slope(x):
+        ahead, back = p.lead(x), p.lag(x)
+        return p.let(F.when(back.isNull(), ahead - x).when(ahead.isNull(), x - back).otherwise((ahead - back) / 2))
+
+    v = [slope(F.col(f"x{i}")) for i in range(len(axes))] + [F.lit(0.0)] * (3 - len(axes))
+    a = [slope(x) for x in v[: len(axes)]] + [F.lit(0.0)] * (3 - len(axes))
+    cross = [v[i] * a[j] - v[j] * a[i] for i, j in ((1, 2), (2, 0), (0, 1))]
+    length = lambda xs: F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
+    return p.df.select(ts, (length(cross) / F.pow(F.greatest(length(v), F.lit(1e-12)), 3)).alias("curvature"))

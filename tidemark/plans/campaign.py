@@ -38,6 +38,33 @@ def run_grid(bars: DataFrame, signal: SignalFn | str, grid: dict[str, list], sto
     return backtest.backtest_grid(signal_grid(bars, signal, grid), stops=stops)
 
 
+def resume(grid: DataFrame, path: str, run: Callable[[DataFrame], DataFrame], key: str = "param_id") -> DataFrame:
+    """All results of a grid: those that the table at `path` has, and the others, made by `run` and added to it. A run that was cut off goes on where it was."""
+    from tidemark.operators.joins import missing_work
+
+    spark = grid.sparkSession
+    missing = missing_work(grid, spark.read.parquet(path), [key])
+    run(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def gated(signals: DataFrame, regime: bool = False, volume: bool = False, market: DataFrame | None = None, signal: str = "signal") -> DataFrame:
+    """Signals that pass the gates asked for: a strong trend, money flow on their side, and times that `market` (ts, open) has as open; other times count as shut."""
+    from tidemark.functions.windows import Panel, true
+    from tidemark.operators.signals import regime_filter, volume_filter
+
+    p, x = Panel(signals), F.col(signal)
+    if regime:
+        x = regime_filter(p, x)
+    if volume:
+        x = volume_filter(p, x)
+    p.let(x, "_gated")
+    df = p.drop_temporary() if "_gated" in p.df.columns else p.df
+    if market is not None:
+        df = df.join(market.select("ts", F.col("open").alias("_open")), "ts", "left").withColumn("_gated", F.when(true(F.col("_open")), F.col("_gated")).otherwise(0)).drop("_open")
+    return df.withColumn(signal, F.col("_gated").cast("int")).drop("_gated")
+
+
 def walk_forward(bars: DataFrame, signal: SignalFn | str, grid: dict[str, list], splits: int = 5, objective: str = "sharpe", stop: float = 1.5, target: float = 3.0) -> DataFrame:
     """The best parameters of each split by an objective, and their figures in the next split."""
     parts = portfolio.chronological_split(bars, splits).withColumn("series", F.concat_ws("|", "ticker", F.col("split").cast("string")))

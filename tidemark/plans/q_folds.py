@@ -323,11 +323,3 @@ def fine_exits(spark, d):
     p = SG.Panel(event_bars(spark, d, "4h"))
     p.let(SG.cross_signal(p, p.mean("close", 3), p.mean("close", 8)), "signal")
     return run(event_bars(spark, d, "15m"), p.drop_temporary(), stop=0.5)
-
-
-@query("unit_root")
-def unit_root(spark, d):
-    from tidemark.operators.pairs import unit_root as run
-
-    got = run(event_bars(spark, d), "close")
-    return spark.createDataFrame([(k[0], round(v, 6)) for k, v in sorted(got.items())], "ticker string, t double")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +84,55 @@ def write_by(df: DataFrame, path: str, *by: str, files: int | None = None) -> No
     dealt.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder where the driver and all executors can write: under the checkpoint folder, or the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/tidemark-{uuid.uuid4().hex}"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Parquet, CSV (with a header), JSON or ORC by the path's suffix, as `read` reads it."""
+    kind = next((k for k in ("csv", "json", "orc") if f".{k}" in path.rsplit("/", 1)[-1]), "parquet")
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
+
+
+def pass_ticks(df: DataFrame, path: str, keys=("ticker", "ts"), tie=("event_id",)) -> None:
+    """Ticks as they are, one for each instrument and time, in a folder per instrument."""
+    from tidemark.operators.bars import keep_one
+
+    write_by(keep_one(df, keys, tie), path, keys[0])
+
+
+def cached(spark: SparkSession, source: str, folder: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `make` gives of the Parquet table at `source`, kept in a folder under a key of its files' names, sizes and times: made anew only when one of those changes."""
+    raw = spark.read.parquet(source)
+    file = raw.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+    n, state = file.agg(F.count("*"), F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)"))).first()
+    place = f"{folder}/{config_key({'files': n, 'state': str(state)})}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        make(raw).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
+def with_lineage(df: DataFrame, **facts) -> DataFrame:
+    """df with where it came from: a column for each fact given (market, timeframe, run_ts, ...); dictionaries are kept as sorted JSON."""
+    plain = {k: json.dumps(v, sort_keys=True, default=str) if isinstance(v, dict) else v for k, v in facts.items()}
+    return df.withColumns({k: F.lit(v) for k, v in plain.items()})
+
+
+def replace_matching(df: DataFrame, path: str, by: str, *keys: str) -> None:
+    """Rows of df in place of those in a store, partitioned by a column, that have the same keys; other rows stay. Only the partitions that df has are written."""
+    spark = df.sparkSession
+    old = spark.read.option("mergeSchema", "true").parquet(path)
+    touched = [r[0] for r in df.select(by).distinct().collect()]
+    rest = old.filter(F.col(by).isin(touched)).join(df.select(*keys).distinct(), list(keys), "left_anti")
+    place = scratch(spark)  # what is read must not be what is written
+    rest.unionByName(df, allowMissingColumns=True).write.parquet(place)
+    replace_partitions(spark.read.parquet(place), path, by)
+
+
 def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     """Write only the partitions that df has rows for; others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
@@ -162,9 +213,10 @@ def risk_free(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A table of results as one CSV file and as Markdown, beside each other. For small tables."""
-    rows = df.collect()
+    table = df.toPandas()
     folder = Path(path)
     folder.parent.mkdir(parents=True, exist_ok=True)
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
-    folder.with_suffix(".md").write_text("\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)]) + "\n")
-    df.toPandas().to_csv(folder.with_suffix(".csv"), index=False)
+    shown = table.astype(object).where(table.notna(), None)
+    folder.with_suffix(".md").write_text("\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, shown.itertuples(index=False))]) + "\n")
+    table.to_csv(folder.with_suffix(".csv"), index=False)
