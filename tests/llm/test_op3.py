@@ -20,7 +20,7 @@ def brute(rows, items):
         for i, b in items:
             x, y = words(t), words(b)
             need = min(13, len(y))
-            if len(y) < 5:
+            if len(y) < o.LEAST:
                 continue
             for s in range(-len(y), len(x)):
                 same = [0 <= s + j < len(x) and x[s + j] == y[j] for j in range(len(y))]
@@ -37,7 +37,7 @@ def test_masks_hit_every_allowed_stretch():
 
 
 def test_against_brute_force(spark, docs, write):
-    items = [(i, " ".join(rng.choices(WORDS, k=rng.choice([4, 5, 7, 8, 9, 13, 20, 40])))) for i in range(30)] + [(30, None), (31, ""), (32, "Ünï çödé wörds hére now"), (33, "Ünï çödé wörds hére now")]
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.choice([2, 3, 4, 5, 7, 8, 9, 13, 20, 40])))) for i in range(30)] + [(30, None), (31, ""), (32, "Ünï çödé wörds hére now"), (33, "Ünï çödé wörds hére now")]
     rows = []
     for d in range(150):
         w = rng.choices(WORDS, k=rng.randint(0, 60))
@@ -65,6 +65,23 @@ def test_against_brute_force(spark, docs, write):
         o.BLOCK_WORDS = was
 
 
+def test_short_items_long_texts_and_other_ids(spark, docs):
+    common = " ".join(["the same line again"] * 30)
+    rows = [(1, "x alpha beta gamma y"), (2, "alpha beta y gamma"), (3, " ".join(rng.choices(WORDS, k=200_000)) + " one two three four five six"), (4, common), (5, None)]
+    items = [(1.5, "Alpha, beta gamma!"), (2.5, "one two three four five six"), *[(10.0 + i, common) for i in range(40)], (None, "alpha beta gamma")]
+    d = docs(rows, benchmark=(items, "item_id double, text string"))
+    got = {(r.doc_id, r.item_id) for r in o.op3_decontaminate(spark, d).collect()}
+    assert got == {(1, 1.5), (1, None), (3, 2.5), *((4, 10.0 + i) for i in range(40))}
+
+
+def test_words_made_to_collide(spark, docs):
+    turns = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[t ^ s] for t in turns) for s in (0, 1))
+    rest = "b c d e f"
+    d = docs([(1, f"{two} {rest}"), (2, f"{one} {rest}")], benchmark=([(1, f"{one} {rest}")], SCHEMA))
+    assert [r.doc_id for r in o.op3_decontaminate(spark, d).collect()] == [2]
+
+
 def test_empty(spark, docs):
     for rows, items in (([], [(1, "a b c d e f")]), ([(1, "a b c d e f")], [])):
         d = docs(rows, benchmark=(items, SCHEMA))

@@ -4,8 +4,8 @@ Method. Words are runs of letters and digits in lower case. A seed is a fixed ma
 and ignores others; the words that it counts are hashed. Masks are chosen, by a rule, so that every stretch that may count as
 an overlap, with any substitutions that are still allowed, is hit by one of them. Benchmark and document hashes are joined. Around each
 hit the document and the item are compared word by word at that alignment: an overlap is a stretch of 13 words of the
-item, or the whole item if shorter, of which at least 0.8 are the same in the document (all of them, in items under 8 words). Items under 5 words say too
-little and are not searched.
+item, or the whole item if shorter, of which at least 0.8 are the same in the document (all of them, in items under 8 words). Items of under LEAST words
+(three) are phrases of the language rather than passages, so a match with them is no overlap. Items under five words have seeds of all their words.
 
 Scale. The benchmark's hashes go to every task in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded; a larger
 benchmark takes one pass over the documents for each block. A bitmap keeps most positions from the lookup. Documents are never shuffled.
@@ -24,12 +24,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.textvec import hash_words, joined, lowered, plain_words, slices
 
 STRETCH = 13
 SHARE = 0.8
-LEAST = 5
+LEAST = 3
 WEIGHT = 5
 SPAN = 9
 #: Words of the benchmark held by every task at a time.
@@ -45,7 +46,7 @@ def allowed(n: int) -> int:
 @lru_cache
 def masks() -> tuple[tuple[int, ...], ...]:
     """Offsets that each seed counts: greedily those that hit most of the stretches not yet hit."""
-    left = {(n, gone) for n in range(LEAST, STRETCH + 1) for gone in combinations(range(n), allowed(n))}
+    left = {(n, gone) for n in range(WEIGHT, STRETCH + 1) for gone in combinations(range(n), allowed(n))}
     options = [(0, *inner, s - 1) for s in range(WEIGHT, SPAN + 1) for inner in combinations(range(1, s - 1), WEIGHT - 2)]
     hits = {m: {(n, gone) for n, gone in left if any(not {x + o for o in m} & set(gone) for x in range(n - m[-1]))} for m in options}
     chosen = []
@@ -55,7 +56,8 @@ def masks() -> tuple[tuple[int, ...], ...]:
             raise ValueError("no mask of this weight and span hits every stretch")
         chosen.append(best)
         left -= hits[best]
-    return tuple(chosen)
+    # shorter items are met by all their words
+    return (*chosen, *(tuple(range(n)) for n in range(LEAST, WEIGHT)))
 
 
 def seeds(words: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
@@ -85,9 +87,13 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         hashes, where, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.used = set()
         for i, w in enumerate(self.words):
             for k, m in enumerate(masks()):
+                if len(m) < WEIGHT and len(m) != len(w):
+                    continue
                 h = seeds(w, m, k)
+                self.used.add(k)
                 hashes.append(h)
                 where.append(np.full(len(h), i))
                 at.append(np.arange(len(h)))
@@ -99,24 +105,24 @@ class Index:
 
     def overlaps(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start in text, words, words alike) of the best overlap of each text and item. first: where each text's words begin, and the end."""
+        spots, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in sorted(self.used):
+            h = seeds(words, masks()[k], k)
+            own = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+            a = np.searchsorted(self.hashes, h[own])
+            n = np.searchsorted(self.hashes, h[own], side="right") - a
+            spots.append(np.repeat(own, n))
+            entries.append(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        spot, entry = np.concatenate(spots), np.concatenate(entries)
+        # an alignment is a text, an item and where the item would start; many seeds name the same one
+        text = np.searchsorted(first, spot, side="right") - 1
+        tried = np.unique(np.stack((text, self.where[entry], spot - self.at[entry]), axis=1), axis=0)
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried = set()
-        for k, m in enumerate(masks()):
-            h = seeds(words, m, k)
-            spots = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-            a = np.searchsorted(self.hashes, h[spots])
-            b = np.searchsorted(self.hashes, h[spots], side="right")
-            hit = np.flatnonzero(b > a)
-            for s, x, y in zip(spots[hit].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
-                text = int(np.searchsorted(first, s, side="right")) - 1
-                for j in range(x, y):
-                    item, start = int(self.where[j]), s - int(self.at[j])
-                    if (text, item, start) in tried:
-                        continue
-                    tried.add((text, item, start))
-                    got = self._verify(words, int(first[text]), int(first[text + 1]), item, start)
-                    if got and (-got[2], got[0]) < (lambda old: (-old[2], old[0]) if old else (1, 0))(found.get((text, item))):
-                        found[(text, item)] = got
+        for t, item, start in tried.tolist():
+            got = self._verify(words, int(first[t]), int(first[t + 1]), item, start)
+            old = found.get((t, item))
+            if got and (not old or (-got[2], got[0]) < (-old[2], old[0])):
+                found[(t, item)] = got
         return [(t, i, s - int(first[t]), n, same) for (t, i), (s, n, same) in sorted(found.items())]
 
     def _verify(self, words: np.ndarray, low: int, high: int, item: int, start: int) -> tuple[int, int, int] | None:
@@ -161,7 +167,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     spark = docs.sparkSession
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_start bigint, n_words bigint, n_same bigint"
-    item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, item_id, item_text):
         held = spark.sparkContext.broadcast(index)
