@@ -8,11 +8,10 @@ rng = np.random.default_rng(2)
 
 
 def brute(rows, k, every):
-    ok, seen = [], set()
+    ok = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v) or (i, tuple(v)) in seen:
+        if i is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             continue
-        seen.add((i, tuple(v)))
         ok.append((i, np.array(v, np.float32).astype(float)))
     out, asked = [], {}
     for i, v in sorted(ok, key=lambda r: (r[0], tuple(r[1]))):

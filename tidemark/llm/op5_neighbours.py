@@ -11,7 +11,7 @@ Scale. Every tile gets at most a block of each side; a row is sent once per bloc
 against all rows costs (queries x rows) products however it is done; block sizes set the traffic, rows x queries / block.
 
 Cases. Null ids, and vectors that are null, empty, zero or hold a null or a non-finite component, take no part.
-Only vectors of the same length are compared. Rows alike in id and vector count once. Candidates with the query's own id are left out. If
+Only vectors of the same length are compared. Every row is a candidate, also those alike in id and vector. Candidates with the query's own id are left out. If
 an id that is a query comes with several vectors, the query is the one that sorts first. With fewer candidates than k all are
 returned. An empty table gives no rows. Other columns aren't read.
 """
@@ -22,6 +22,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +79,26 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
 
 
 def _rows(table: pa.Table, first_only: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By vector length: ids and vectors of the rows that take part, each (id, vector) once."""
-    found: dict[int, dict] = {}
-    for i, v in zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist(), strict=True):
-        if i is None or not v or None in v:
-            continue
-        x = np.array(v, np.float64)
-        if np.isfinite(x).all() and x.any():
-            own = found.setdefault(len(v), {})
-            own[(i, x.tobytes())] = (tuple(v), x)
+    """By vector length: ids and vectors of the rows that take part. first_only: of each id only the vector that sorts first."""
+    column = table.column("v").combine_chunks()
+    ids = table.column("vec_id").to_numpy()
+    # missing components become not-a-number, which takes a vector out
+    values = pc.fill_null(column.values.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    starts = column.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(starts)
     out = {}
-    for d, own in found.items():
-        rows = sorted(((i, t, x) for (i, _), (t, x) in own.items()), key=lambda r: r[:2])
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == d)
+        x = values[starts[at][:, None] + np.arange(d)]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        own, x = ids[at][good], x[good]
         if first_only:
-            rows = [r for n, r in enumerate(rows) if not n or rows[n - 1][0] != r[0]]
-        out[d] = (np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows]))
+            order = np.lexsort((*x.T[::-1], own))
+            own, x = own[order], x[order]
+            first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+            own, x = own[first], x[first]
+        if len(own):
+            out[d] = (own.astype(np.int64), x)
     return out
 
 
@@ -127,7 +133,7 @@ WITH ok AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
-           FROM ok q JOIN ok c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
+           FROM (SELECT vec_id, min(v) AS v FROM ok WHERE vec_id % {EVERY} = 0 GROUP BY vec_id) q JOIN ok c ON q.vec_id <> c.vec_id),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
 """
