@@ -27,8 +27,7 @@ def ruled(host, path, rules):
     return None, None
 
 
-def form(path, i):
-    s = path.split("/")[i] if len(path.split("/")) > i else ""
+def form(s):
     if re.search(r"^[0-9]+([.][A-Za-z0-9]+)?$", s):
         return "{number}"
     if re.search(r"^[0-9a-fA-F-]{8,}$", s) and re.search("[0-9]", s):
@@ -41,39 +40,38 @@ def brute(rows, rules):
     for i, url in rows:
         host, path = parts(url)
         rule, verdict = ruled(host, path, rules)
-        pages.append([i, host, path, rule, verdict, [form(path, k) for k in (1, 2, 3)]])
-    for level in range(3):
-        family = defaultdict(lambda: defaultdict(int))
-        for p in pages:
-            family[(p[1], *p[5][:level])][p[5][level]] += 1
-        for p in pages:
-            own = family[(p[1], *p[5][:level])]
-            p.append("{any}" if len(own) > o.CHILDREN and own[p[5][level]] * o.CHILDREN < sum(own.values()) else p[5][level])
-        # the next level's families stand under generalised segments
-        for p in pages:
-            p[5] = [*p[5][:level], p.pop(), *p[5][level + 1 :]]
+        shape = "/".join(form(x) for x in path.split("/")[1:])
+        pages.append([i, host, path, rule, verdict, shape.split("/") if shape else []])
     lab = lambda own: (sum(p[4] is not None for p in own), sum(p[4] == "block" for p in own))
-    groups = defaultdict(list)
+    hosts = defaultdict(list)
     for p in pages:
-        groups[(p[1],)].append(p)
-    purity = {k: (lab(own)[1] + o.STRENGTH * o.PRIOR) / (lab(own)[0] + o.STRENGTH) for k, own in groups.items()}
-    for level in range(3):
-        after, pure = defaultdict(list), {}
-        for k, own in groups.items():
-            pl, pb = lab(own)
-            child = defaultdict(list)
-            for p in own:
-                child[p[5][level]].append(p)
-            branch = defaultdict(list)
-            for c, mine in child.items():
-                n, b = lab(mine)
-                q = (pb + 0.5) / (pl + 1)
-                alike = n == 0 or abs(b / n - pb / pl) <= o.Z * math.sqrt(q * (1 - q) / n)
-                branch["*" if alike else "=" + c] += mine
-            for m, mine in branch.items():
-                n, b = lab(mine)
-                after[(*k, m)], pure[(*k, m)] = mine, (b + o.STRENGTH * purity[k]) / (n + o.STRENGTH)
-        groups, purity = after, pure
+        hosts[p[1]].append(p)
+    groups, purity = {}, {}
+
+    def split(key, own, level, value):
+        pl, pb = lab(own)
+        if not 0 < pb < pl or max(len(p[5]) for p in own) <= level:
+            groups[key], purity[key] = own, value
+            return
+        child = defaultdict(list)
+        for p in own:
+            child[p[5][level] if len(p[5]) > level else ""].append(p)
+        kinds = defaultdict(list)
+        for c, mine in child.items():
+            kinds["{any}" if len(child) > o.CHILDREN and len(mine) * o.CHILDREN < len(own) else c] += mine
+        branch = defaultdict(list)
+        for c, mine in kinds.items():
+            n, b = lab(mine)
+            q = (pb + 0.5) / (pl + 1)
+            alike = n == 0 or abs(b / n - pb / pl) <= o.Z * math.sqrt(q * (1 - q) / n)
+            branch["*" if alike else "=" + c] += mine
+        for m, mine in branch.items():
+            n, b = lab(mine)
+            split((*key, m), mine, level + 1, (b + o.STRENGTH * value) / (n + o.STRENGTH))
+
+    for h, own in hosts.items():
+        n, b = lab(own)
+        split((h,), own, 0, (b + o.STRENGTH * o.PRIOR) / (n + o.STRENGTH))
     out = []
     for k, own in groups.items():
         out += [(str(p[0]), p[1], p[2], p[3], p[4] or ("block" if purity[k] >= o.REJECT else "allow")) for p in own]
@@ -103,6 +101,15 @@ def test_against_brute_force_and_sql(spark, write):
     assert {v for *_, r, v in got if r is None} == {"allow", "block"}
 
 
+def test_rules_that_differ_at_the_sixth_segment(spark, write):
+    rows = [(i, f"http://d.io/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{'x' if i < 60 else 'y/z' * (i % 3)}/{i}") for i in range(120)]
+    rules = [("allow", "d.io/a/b/c/d/e/good/x"), ("block", "d.io/a/b/c/d/e/bad/x")]
+    pages = spark.read.parquet(write(pages=([(i, u, "h", "x", "y") for i, u in rows], SCHEMA)) + "/pages.parquet")
+    got = sorted(((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in o.judge(pages, rules=rules).drop("purity").collect()), key=str)
+    assert got == brute(rows, rules)
+    assert all(v == ("allow" if "/good/" in path else "block") for _, _, path, _, v in got)
+
+
 def test_other_rules_empty_and_native(spark, write):
     d = write(pages=([(1, "http://q.io/a'b/1")], "page_id bigint, url string"))
     pages = spark.read.parquet(f"{d}/pages.parquet")

@@ -1,14 +1,15 @@
 """URL filters: stated rules first, then a path-template tree per host judged by smoothed purity.
 
-Method. The first three path segments make a tree under each host. Segments that are numbers, hexadecimal or very long become
+Method. Path segments make a tree under each host, of any depth. Segments that are numbers, hexadecimal or very long become
 wildcards by their form; under a parent with more than CHILDREN children, those with under 1/CHILDREN of its pages become one wildcard by their
 numbers. Pages that a rule fits are the labelled ones. Level by level, siblings whose share of blocked pages does
 not differ from their parent's by more than Z standard errors, unlabelled ones too, merge into one branch. A branch's purity is its share of blocked
-pages, smoothed with STRENGTH pages of its parent's purity, and the host's with those of PRIOR. A template whose purity
+pages, smoothed with STRENGTH pages of its parent's purity, and the host's with those of PRIOR. A branch is followed further as long as it has labelled pages of
+both verdicts and paths that go on: in others nothing below could differ. A template whose purity
 reaches REJECT blocks the pages that no rule fits; others are allowed.
 
 Scale. Only the url is read. Pages are counted by host and template with partial sums, and the tree is built over those counts,
-written to the checkpoint folder; pages meet their template's verdict in a join that may be split where one host is hot.
+level by level, written to the shared folder; there are as many levels as mixed branches are deep. Pages meet their template's verdict in a join that may be split where one host is hot.
 No page text, Python or window is involved.
 
 Cases. A null url, or one without `://`, has an empty host and path, and no rule fits it unless its parts allow that. Ties between
@@ -18,6 +19,8 @@ rows. Other columns aren't read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ Z = 1.96
 STRENGTH = 4.0
 PRIOR = 0.25
 REJECT = 0.5
+#: Levels that the SQL writes out; the operator has no such bound.
+LEVELS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,55 +60,52 @@ def match_rule(rules, host: str = "host", path: str = "path") -> tuple[str, str]
     return case(fits), case(words)
 
 
-def _form(i: int) -> str:
-    s = f"coalesce(get(split(path, '/'), {i}), '')"
-    return f"""(CASE WHEN {s} RLIKE '^[0-9]+([.][A-Za-z0-9]+)?$' THEN '{{number}}' WHEN {s} RLIKE '^[0-9a-fA-F-]{{8,}}$' AND {s} RLIKE '[0-9]' THEN '{{hex}}'
-        WHEN char_length({s}) > 40 THEN '{{long}}' ELSE {s} END)"""
+def _forms(path: str) -> str:
+    """SQL for the forms of a path's segments, joined as they were."""
+    form = """CASE WHEN s RLIKE '^[0-9]+([.][A-Za-z0-9]+)?$' THEN '{number}' WHEN s RLIKE '^[0-9a-fA-F-]{8,}$' AND s RLIKE '[0-9]' THEN '{hex}' WHEN char_length(s) > 40 THEN '{long}' ELSE s END"""
+    return f"array_join(transform(slice(split({path}, '/'), 2, size(split({path}, '/'))), s -> {form}), '/')"
 
 
 def parse(pages: DataFrame, page_id: str, url: str, rules) -> DataFrame:
-    """(page_id, host, path, rule, ruled, s1, s2, s3): ruled is the rule's verdict."""
+    """(page_id, host, path, rule, ruled, form): ruled is the rule's verdict, form the path with segments of some forms as wildcards."""
     host, path = split_url("`__u`")
     rule, ruled = match_rule(rules)
     out = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("__u")).select("page_id", F.expr(host).alias("host"), F.expr(path).alias("path"))
-    out = out.withColumns({"rule": F.expr(rule), "ruled": F.expr(ruled)})
-    return out.withColumns({f"s{i}": F.expr(_form(i)) for i in (1, 2, 3)})
+    return out.withColumns({"rule": F.expr(rule), "ruled": F.expr(ruled), "form": F.expr(_forms("path"))})
 
 
-def _merge(nodes: DataFrame, above: list[str], own: str, out: str) -> DataFrame:
-    """Nodes with a column `out`: the branch under `above` that each child `own` belongs to, and its branch's purity."""
-    sums = [F.sum("labelled").alias("l"), F.sum("blocked").alias("b")]
-    child = nodes.groupBy(*above, "purity", own).agg(*sums)
-    parent = nodes.groupBy(*above).agg(F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
+def _branches(live: DataFrame) -> DataFrame:
+    """(host, branch, own, next, purity): for each child at a level the branch that it belongs to, and its purity."""
+    above = ["host", "branch"]
+    child = live.groupBy(*above, "purity", "own").agg(F.sum("n").alias("cn"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    family = child.groupBy(*above).agg(F.count("*").alias("kinds"), F.sum("cn").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+    child = checkpointed(child.join(family, above).withColumn("g", F.expr(f"CASE WHEN kinds > {CHILDREN} AND cn * {CHILDREN} < pn THEN '{{any}}' ELSE own END")))
+    kind = child.groupBy(*above, "purity", "g", "pl", "pb").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
     q = "((pb + 0.5D) / (pl + 1D))"
     alike = f"(CASE WHEN l = 0 THEN true ELSE abs(cast(b AS double) / l - cast(pb AS double) / pl) <= {Z}D * sqrt({q} * (1D - {q}) / l) END)"
-    judged = checkpointed(child.join(parent, above).withColumn(out, F.expr(f"CASE WHEN {alike} THEN '*' ELSE concat('=', {own}) END")))
-    branch = judged.groupBy(*above, out).agg(F.sum("l").alias("bl"), F.sum("b").alias("bb"))
-    fitted = judged.join(branch, [*above, out]).withColumn("next", F.expr(f"(bb + {STRENGTH}D * purity) / (bl + {STRENGTH}D)")).select(*above, own, out, "next")
-    return nodes.join(fitted, [*above, own]).drop("purity").withColumnRenamed("next", "purity")
-
-
-def _generalise(leaves: DataFrame, above: list[str], own: str) -> DataFrame:
-    """Leaves with rare children of a large family turned into one wildcard."""
-    child = leaves.groupBy(*above, own).agg(F.sum("n").alias("cn"))
-    family = child.groupBy(*above).agg(F.count("*").alias("kinds"), F.sum("cn").alias("pn"))
-    rare = child.join(family, above).filter(f"kinds > {CHILDREN} AND cn * {CHILDREN} < pn").select(*above, own, F.lit(True).alias("rare"))
-    return leaves.join(rare, [*above, own], "left").withColumn(f"g{own[1]}", F.expr(f"CASE WHEN rare THEN '{{any}}' ELSE {own} END")).drop("rare")
+    kind = kind.withColumn("m", F.expr(f"CASE WHEN {alike} THEN '*' ELSE concat('=', g) END"))
+    merged = kind.groupBy(*above, "purity", "m").agg(F.sum("l").alias("bl"), F.sum("b").alias("bb")).withColumn("next", F.expr(f"(bb + {STRENGTH}D * purity) / (bl + {STRENGTH}D)"))
+    known = kind.select(*above, "g", "m").join(merged.select(*above, "m", "next"), [*above, "m"])
+    return child.select(*above, "own", "g").join(known, [*above, "g"]).select(*above, "own", F.concat("branch", F.lit("/"), "m").alias("deeper"), F.col("next").alias("deeper_purity"))
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """(host, s1, s2, s3, purity): every template that occurs, with its purity in the tree."""
-    counted = parsed.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    leaves = checkpointed(counted)
-    leaves = _generalise(leaves, ["host"], "s1")
-    leaves = checkpointed(_generalise(leaves, ["host", "g1"], "s2"))
-    leaves = checkpointed(_generalise(leaves, ["host", "g1", "g2"], "s3"))
+    """(host, form, purity): every path form that occurs, with its template's purity in the tree."""
+    leaves = parsed.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    leaves = checkpointed(leaves.withColumn("deep", F.expr("CASE WHEN form = '' THEN 0 ELSE size(split(form, '/')) END")))
     hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb")).select("host", F.expr(f"(hb + {STRENGTH}D * {PRIOR}D) / (hl + {STRENGTH}D)").alias("purity"))
-    nodes = leaves.join(hosts, "host")
-    nodes = checkpointed(_merge(nodes, ["host"], "g1", "m1"))
-    nodes = checkpointed(_merge(nodes, ["host", "m1"], "g2", "m2"))
-    nodes = _merge(nodes, ["host", "m1", "m2"], "g3", "m3")
-    return nodes.select("host", "s1", "s2", "s3", "purity")
+    live = leaves.join(hosts, "host").withColumn("branch", F.lit(""))
+    done, level = [], 0
+    while True:
+        mixed = live.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("deep").alias("d")).filter(f"b > 0 AND b < l AND d > {level}").select("host", "branch", F.lit(True).alias("goes_on"))
+        state = checkpointed(live.join(mixed, ["host", "branch"], "left"))
+        done.append(state.filter("goes_on IS NULL").select("host", "form", "purity"))
+        open_ = state.filter("goes_on").drop("goes_on").withColumn("own", F.expr(f"coalesce(get(split(form, '/'), {level}), '')"))
+        if open_.isEmpty():
+            return reduce(DataFrame.union, done)
+        branches = _branches(open_)
+        live = open_.join(branches, ["host", "branch", "own"]).drop("branch", "purity", "own").withColumnsRenamed({"deeper": "branch", "deeper_purity": "purity"})
+        level += 1
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -111,7 +113,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     parsed = parse(pages, page_id, url, rules)
     tree = checkpointed(templates(parsed))
     verdict = F.expr(f"coalesce(ruled, CASE WHEN purity >= {REJECT}D THEN 'block' ELSE 'allow' END)")
-    return parsed.join(tree, ["host", "s1", "s2", "s3"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "purity")
+    return parsed.join(tree, ["host", "form"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "purity")
 
 
 def op6_urls(spark, sf_dir: str) -> DataFrame:
@@ -129,37 +131,30 @@ def _oracle() -> str:
         fits.append(f"WHEN {test} THEN '{rule}'")
         words.append(f"WHEN {test} THEN '{verdict}'")
 
-    def form(i: int) -> str:
-        s = f"coalesce(str_split(path, '/')[{i + 1}], '')"
-        return f"""CASE WHEN regexp_matches({s}, '^[0-9]+([.][A-Za-z0-9]+)?$') THEN '{{number}}' WHEN regexp_matches({s}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({s}, '[0-9]') THEN '{{hex}}'
-            WHEN length({s}) > 40 THEN '{{long}}' ELSE {s} END AS s{i}"""
-
-    def general(source: str, above: str, own: str, out: str, name: str) -> str:
-        return f"""{name}_c AS (SELECT {above}, {own}, sum(n) AS cn FROM {source} GROUP BY {above}, {own}),
-        {name}_f AS (SELECT {above}, count(*) AS kinds, sum(cn) AS pn FROM {name}_c GROUP BY {above}),
-        {name} AS (SELECT x.*, CASE WHEN f.kinds > {CHILDREN} AND c.cn * {CHILDREN} < f.pn THEN '{{any}}' ELSE x.{own} END AS {out}
-            FROM {source} x JOIN {name}_c c USING ({above}, {own}) JOIN {name}_f f USING ({above}))"""
-
-    def merge(source: str, above: str, own: str, out: str, was: str, name: str) -> str:
-        q = "((p.pb + 0.5::DOUBLE) / (p.pl + 1::DOUBLE))"
-        return f"""{name}_c AS (SELECT {above}, {was}, {own}, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b FROM {source} GROUP BY {above}, {was}, {own}),
-        {name}_p AS (SELECT {above}, sum(labelled)::BIGINT AS pl, sum(blocked)::BIGINT AS pb FROM {source} GROUP BY {above}),
-        {name}_j AS (SELECT c.*, CASE WHEN c.l = 0 THEN '*' WHEN abs(c.b::DOUBLE / c.l - p.pb::DOUBLE / p.pl) <= {Z}::DOUBLE * sqrt({q} * (1::DOUBLE - {q}) / c.l) THEN '*' ELSE concat('=', c.{own}) END AS {out}
-            FROM {name}_c c JOIN {name}_p p USING ({above})),
-        {name}_b AS (SELECT {above}, {out}, sum(l)::BIGINT AS bl, sum(b)::BIGINT AS bb FROM {name}_j GROUP BY {above}, {out}),
-        {name} AS (SELECT x.*, j.{out}, (b.bb + {STRENGTH}::DOUBLE * x.{was}) / (b.bl + {STRENGTH}::DOUBLE) AS {name}_purity
-            FROM {source} x JOIN {name}_j j USING ({above}, {own}) JOIN {name}_b b USING ({above}, {out}))"""
+    form = """CASE WHEN regexp_matches(s, '^[0-9]+([.][A-Za-z0-9]+)?$') THEN '{number}' WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') AND regexp_matches(s, '[0-9]') THEN '{hex}' WHEN length(s) > 40 THEN '{long}' ELSE s END"""
+    q = "((pb + 0.5::DOUBLE) / (pl + 1::DOUBLE))"
+
+    def level(i: int) -> str:
+        return f"""
+b{i} AS MATERIALIZED (SELECT host, branch, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b, max(deep) AS d FROM y{i} WHERE live GROUP BY ALL),
+o{i} AS MATERIALIZED (SELECT y.*, coalesce(str_split(form, '/')[{i + 1}], '') AS own FROM y{i} y JOIN b{i} x USING (host, branch) WHERE y.live AND x.b > 0 AND x.b < x.l AND x.d > {i}),
+c{i} AS MATERIALIZED (SELECT host, branch, purity, own, sum(n)::BIGINT AS cn, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b FROM o{i} GROUP BY ALL),
+f{i} AS MATERIALIZED (SELECT host, branch, count(*) AS kinds, sum(cn)::BIGINT AS pn, sum(l)::BIGINT AS pl, sum(b)::BIGINT AS pb FROM c{i} GROUP BY ALL),
+g{i} AS MATERIALIZED (SELECT c.*, pl, pb, CASE WHEN kinds > {CHILDREN} AND cn * {CHILDREN} < pn THEN '{{any}}' ELSE own END AS g FROM c{i} c JOIN f{i} USING (host, branch)),
+k{i} AS MATERIALIZED (SELECT *, CASE WHEN l = 0 THEN '*' WHEN abs(b::DOUBLE / l - pb::DOUBLE / pl) <= {Z}::DOUBLE * sqrt({q} * (1::DOUBLE - {q}) / l) THEN '*' ELSE concat('=', g) END AS m
+    FROM (SELECT host, branch, purity, g, pl, pb, sum(l)::BIGINT AS l, sum(b)::BIGINT AS b FROM g{i} GROUP BY ALL)),
+m{i} AS MATERIALIZED (SELECT host, branch, m, (sum(b)::BIGINT + {STRENGTH}::DOUBLE * purity) / (sum(l)::BIGINT + {STRENGTH}::DOUBLE) AS next FROM k{i} GROUP BY host, branch, purity, m),
+y{i + 1} AS MATERIALIZED (SELECT o.host, concat(o.branch, '/', k.m) AS branch, o.form, o.deep, o.n, o.labelled, o.blocked, m.next AS purity, true AS live
+    FROM o{i} o JOIN g{i} g ON g.host = o.host AND g.branch = o.branch AND g.own = o.own JOIN k{i} k ON k.host = o.host AND k.branch = o.branch AND k.g = g.g JOIN m{i} m ON m.host = o.host AND m.branch = o.branch AND m.m = k.m
+    UNION ALL SELECT y.* REPLACE (false AS live) FROM y{i} y LEFT JOIN b{i} x ON x.host = y.host AND x.branch = y.branch AND y.live WHERE NOT y.live OR NOT (x.b > 0 AND x.b < x.l AND x.d > {i}))"""
 
     return f"""
 WITH a AS (SELECT page_id, translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path FROM pages),
-parsed AS (SELECT *, CASE {' '.join(fits)} END AS rule, CASE {' '.join(words)} END AS ruled, {form(1)}, {form(2)}, {form(3)} FROM a),
-leaf AS (SELECT host, s1, s2, s3, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM parsed GROUP BY host, s1, s2, s3),
-{general('leaf', 'host', 's1', 'g1', 'x1')}, {general('x1', 'host, g1', 's2', 'g2', 'x2')}, {general('x2', 'host, g1, g2', 's3', 'g3', 'x3')},
-h AS (SELECT host, (sum(blocked)::BIGINT + {STRENGTH * PRIOR}::DOUBLE) / (sum(labelled)::BIGINT + {STRENGTH}::DOUBLE) AS purity FROM x3 GROUP BY host),
-y0 AS (SELECT x3.*, h.purity FROM x3 JOIN h USING (host)),
-{merge('y0', 'host', 'g1', 'm1', 'purity', 'y1')}, {merge('y1', 'host, m1', 'g2', 'm2', 'y1_purity', 'y2')}, {merge('y2', 'host, m1, m2', 'g3', 'm3', 'y2_purity', 'y3')}
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN y3_purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
-FROM parsed LEFT JOIN y3 USING (host, s1, s2, s3)
+parsed AS MATERIALIZED (SELECT *, CASE {' '.join(fits)} END AS rule, CASE {' '.join(words)} END AS ruled, coalesce(array_to_string(list_transform(str_split(path, '/')[2:], lambda s: {form}), '/'), '') AS form FROM a),
+leaf AS MATERIALIZED (SELECT host, form, CASE WHEN form = '' THEN 0 ELSE len(str_split(form, '/')) END AS deep, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM parsed GROUP BY host, form),
+h AS (SELECT host, (sum(blocked)::BIGINT + {STRENGTH * PRIOR}::DOUBLE) / (sum(labelled)::BIGINT + {STRENGTH}::DOUBLE) AS purity FROM leaf GROUP BY host),
+y0 AS MATERIALIZED (SELECT leaf.host, '' AS branch, form, deep, n, labelled, blocked, purity, true AS live FROM leaf JOIN h USING (host)),{','.join(level(i) for i in range(LEVELS))}
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM parsed LEFT JOIN y{LEVELS} USING (host, form)
 """
 
 
