@@ -55,6 +55,37 @@ def test_words_of_a_switched_sentence():
     assert (np.diag(model.move) > model.move.mean(axis=1)).all()
 
 
+def test_spans_of_switched_texts(spark, docs):
+    rows = [(i, text(lang, 60), lang) for i in range(60) for lang in SOUNDS]
+    df = spark.read.parquet(docs(rows) + "/documents.parquet")
+    model = o.train(df, "doc_id", "text", "lang")
+    parts = [(lang, text(lang, 30).replace(".", "")) for lang in ("aa", "cc", "bb")]
+    mixed = "  ".join(t for _, t in parts)
+    asked = spark.createDataFrame([(1, mixed), (2, "¡É " + parts[1][1].upper()), (3, None), (4, ""), (5, "12 !"), (6, "x" + " ka" * 3000)], "doc_id int, text string")
+    got = {r.doc_id: r for r in o.predict(asked, model, coverage_out="covered", spans_out="spans").collect()}
+    found = {z.language for z in got[1].spans}
+    assert found == {"aa", "bb", "cc"}
+    right = sum(min(z.end, at + len(t)) - max(z.start, at) for (lang, t), at in zip(parts, (0, len(parts[0][1]) + 2, len(parts[0][1]) + len(parts[1][1]) + 4), strict=True) for z in got[1].spans if z.language == lang and z.end > at and z.start < at + len(t))
+    assert right >= 0.9 * len(mixed)
+    for i, t in ((1, mixed), (2, "¡É " + parts[1][1].upper()), (6, "x" + " ka" * 3000)):
+        ends = [0]
+        for z in got[i].spans:
+            assert ends[-1] <= z.start < z.end <= len(t) and not t[z.start].isspace() and not t[z.end - 1].isspace() and 0 < z.posterior <= 1
+            ends.append(z.end)
+        assert got[i].covered > 0.6
+    assert [got[i].spans for i in (3, 4, 5)] == [[], [], []] and [got[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3
+
+
+def test_coverage_tells_foreign_text(spark, docs):
+    rows = [(i, text(lang, 60), lang) for i in range(60) for lang in SOUNDS]
+    df = spark.read.parquet(docs(rows) + "/documents.parquet")
+    model = o.train(df, "doc_id", "text", "lang")
+    noise = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(40))
+    asked = [("clean", text(lang, 40)) for lang in SOUNDS for _ in range(20)] + [("foreign", "これは日本語の文章です " * 5), ("foreign", "Это русский текст, его здесь никто не знает"), ("foreign", noise)]
+    got = o.predict(spark.createDataFrame(asked, "kind string, text string"), model, coverage_out="covered").collect()
+    assert all((r.covered >= o.LEAST_COVERAGE) == (r.kind == "clean") for r in got)
+
+
 def test_nothing_to_learn_from(spark, docs):
     got = o.op1_language(spark, docs([(1, "words here", None), (2, None, None)])).collect()
     assert {(r.doc_id, r.lang_pred, r.score) for r in got} == {(1, "und", 0.0), (2, "und", 0.0)}

@@ -4,12 +4,16 @@ Method. Each word of a sentence gets a language. A word's features are its byte
 last four bytes (affixes), and its entry in a lexicon of words that sampled documents share; each has a learned
 weight per language. Transitions between neighbouring words are learned too, from sampled sentences and from sequences
 spliced of several languages. Forward-backward gives every word's posterior; a document's language is the one with the largest
-mean posterior over all its words, and that mean is the score.
+mean posterior over all its words, and that mean is the score. Runs of words of one language are spans, with their place, language and mean posterior.
 
-A chain is a sentence (up to a full stop, mark or line feed), broken after 64 words. Texts are lower-cased and read whole.
+A chain is a sentence (up to a full stop, mark or line feed), however long. Texts are lower-cased and read whole.
+
+Posteriors say which of the known languages is nearest, not whether any is near. For that there is the coverage: the share of a text's
+trigrams that training documents have. Foreign or garbled text has little of it, whatever the number of languages.
 
 Training. Every language of the table is learned. At most SAMPLE documents with a language (about), chosen by a hash and spread over languages, but
-LEAST_SAMPLE of each language that has them, and at most SAMPLE_CHARS characters of each, go to one task, which fits the model; only the model reaches the driver. Nothing but text and language is learned from.
+LEAST_SAMPLE of each language that has them, go to one task, which fits the model; only the model reaches the driver. Of a document longer than SAMPLE_CHARS characters,
+STRETCHES stretches evenly spread over it are learned from. Nothing but text and language is learned from.
 
 Cases. A null text, or one with no letter, is `und` with score 0. With no document to learn from every text is. Repeated rows and null
 ids are predicted like others (a null id counts as held out). An empty table gives no rows. Other columns aren't read.
@@ -24,21 +28,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.textvec import fitted, hash_words, lowered, plain_words, slices
 
 SAMPLE = 1200
 SAMPLE_CHARS = 4000
+STRETCHES = 8
 #: Sampled documents of a language at least (about), however many languages there are.
 LEAST_SAMPLE = 16
-CHAIN = 64
 BUCKETS = 1 << 15
 ROUNDS = 40
 #: A language comes with this many sampled documents that share a word before the word enters the lexicon.
 SHARED = 4
 LEXICON = 4096
-#: Texts whose best language has a lower mean posterior than this are rejected by the corpus pipeline.
-LEAST_SCORE = 0.3
+#: Documents that share a trigram before it counts as known.
+KNOWN = 2
+#: Texts with a smaller share of known trigrams are rejected by the corpus pipeline.
+LEAST_COVERAGE = 0.5
 
 
 @dataclass
@@ -92,9 +99,7 @@ def read_words(data: np.ndarray, offs: np.ndarray) -> Words:
     new = np.ones(n, bool)
     new[1:] = stops[starts[1:]] > stops[ends[:-1]]
     new[first[:-1][first[:-1] < n]] = True
-    begin = np.flatnonzero(new)
-    run = np.arange(n) - np.repeat(begin, np.diff(np.concatenate((begin, [n]))))
-    chain = np.concatenate((np.flatnonzero(run % CHAIN == 0), [n]))
+    chain = np.concatenate((np.flatnonzero(new), [n]))
     return Words(tri, tri_at, affix(starts, 1), affix(ends - 1, -1), hash_words(data, starts, ends), chain, first)
 
 
@@ -110,6 +115,13 @@ class Model:
     lex: np.ndarray  # the last row is of all other words
     move: np.ndarray
     start: np.ndarray
+    seen: np.ndarray  # trigrams that training documents have
+
+    def coverage(self, w: Words) -> np.ndarray:
+        """The share of each text's trigrams that are known; 0 for texts without words."""
+        have = np.concatenate(([0], np.cumsum(self.seen[w.tri])))
+        ends = np.concatenate((w.tri_at, [len(w.tri)]))[w.first]
+        return (have[ends[1:]] - have[ends[:-1]]) / np.maximum(np.diff(ends), 1)
 
     def entry(self, w: Words) -> np.ndarray:
         at = np.searchsorted(self.lexicon, w.key)
@@ -197,7 +209,9 @@ def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Mo
     pairs = np.unique(np.stack((w.key, doc.astype(np.uint64))), axis=1)[0]
     keys, held = np.unique(pairs, return_counts=True)
     lexicon = np.sort(keys[held >= SHARED][np.argsort(-held[held >= SHARED], kind="stable")][:LEXICON])
-    model = Model(languages, np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros((size, size)), np.zeros(size))
+    model = Model(languages, np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros((size, size)), np.zeros(size), np.zeros(BUCKETS, bool))
+    by_doc = np.unique(np.stack((w.tri, np.repeat(doc, np.diff(np.concatenate((w.tri_at, [len(w.tri)])))))), axis=1)[0]
+    model.seen = np.bincount(by_doc, minlength=BUCKETS) >= min(KNOWN, len(texts))
     entry, reps = model.entry(w), np.diff(np.concatenate((w.tri_at, [len(w.tri)])))
     truth = np.eye(size)[gold]
     inner = np.ones(len(gold), bool)
@@ -240,12 +254,37 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, chosen=None, sampl
     each = max(LEAST_SAMPLE, sample // len(sizes))
     rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes], "l string, rate double")
     drawn = own.join(F.broadcast(rates), "l").filter(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    rows = drawn.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * max(sample, each * len(sizes)))
+    part = SAMPLE_CHARS // STRETCHES
+    spread = f"array_join(transform(sequence(0, {STRETCHES - 1}), i -> substring(t, cast(1 + floor(i * (char_length(t) - {part}) / {STRETCHES - 1}) AS int), {part})), '\\n')"
+    body = F.expr(f"CASE WHEN char_length(t) <= {SAMPLE_CHARS} THEN t ELSE {spread} END")
+    rows = drawn.select("l", body.alias("t"), F.xxhash64("i", "t").alias("h")).orderBy("h").limit(2 * max(sample, each * len(sizes)))
     return fitted(rows, lambda table: fit([(t.lower(), lang) for _, t, lang in sorted(zip(*(table.column(c).to_pylist() for c in "htl"), strict=True))]))
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """The documents, all columns kept, with a language and a score."""
+def spans(model: Model, w: Words, post: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[dict]]:
+    """(where each text's spans begin, and the end; spans) from the words' posteriors. chars: for each byte, which code point of its text it is in."""
+    if not len(w.key):
+        return np.zeros(len(w.first), np.int64), []
+    best = post.argmax(axis=1)
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    new[w.first[:-1][w.first[:-1] < len(best)]] = True
+    at = np.flatnonzero(new)
+    size = np.diff(np.concatenate((at, [len(best)])))
+    sure = np.add.reduceat(post[np.arange(len(best)), best], at) / size
+    text = np.searchsorted(w.first, at, side="right") - 1
+    begin, stop = chars[starts[at]], ends[at + size - 1]
+    # the byte after a word may be the next text's first, so its last character is looked at
+    end = chars[stop - 1] + 1
+    rows = [{"start": int(a), "end": int(z), "language": model.languages[k], "posterior": float(p)} for a, z, k, p in zip(begin.tolist(), end.tolist(), best[at].tolist(), sure.tolist(), strict=True)]
+    return np.searchsorted(text, np.arange(len(w.first))), rows
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string()), ("posterior", pa.float64())]))
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", coverage_out: str | None = None, spans_out: str | None = None) -> DataFrame:
+    """The documents, all columns kept, with a language and a score, and, if named, the coverage and the spans: array of (start, end, language, posterior), in code points."""
     place, schema = docs.columns.index(text), docs.schema
     spoken = "__tm_letters"
     ready = docs.withColumn(spoken, F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)))
@@ -255,22 +294,35 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang_out:
         model = held.value
         for batch in batches:
             n = batch.num_rows
-            best, score = np.full(n, -1), np.zeros(n)
+            best, score, covered, found = np.full(n, -1), np.zeros(n), np.zeros(n), [[] for _ in range(n)]
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             for at, data, offs in slices(lowered(batch.column(place))) if model else ():
                 w = read_words(data, offs)
-                total = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(model.posteriors(w), axis=0)))
+                post = model.posteriors(w)
+                total = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(post, axis=0)))
                 words = np.diff(w.first)
                 mean = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(words, 1)[:, None]
                 some = np.flatnonzero(words)
                 best[at + some] = mean[some].argmax(axis=1)
                 score[at + some] = np.clip(mean[some].max(axis=1), 0, 1)
+                covered[at : at + len(words)] = model.coverage(w)
+                if spans_out:
+                    chars = np.cumsum((data & 0xC0) != 0x80) - 1
+                    chars -= np.repeat(chars[np.minimum(offs[:-1], max(len(data) - 1, 0))], np.diff(offs)) if len(data) else 0
+                    starts, ends, _ = plain_words(data, offs, digits=False)
+                    edge, rows = spans(model, w, post, chars, starts, ends)
+                    for i in range(len(words)):
+                        found[at + i] = rows[edge[i] : edge[i + 1]]
             best[~letters] = -1
             score[best < 0] = 0
             named = [model.languages[i] if i >= 0 else "und" for i in best.tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "p", "s"])
+            more = [pa.array(covered)] * bool(coverage_out) + ([pa.array([f if k >= 0 else [] for f, k in zip(found, best.tolist(), strict=True)], _SPAN)] if spans_out else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(score), *more], names=[*batch.schema.names[:-1], "p", "s", "c", "z"][: batch.num_columns + 1 + len(more)])
 
     out = schema.add(lang_out, "string").add(score_out, "double")
+    out = out.add(coverage_out, "double") if coverage_out else out
+    span = T.StructType().add("start", "integer").add("end", "integer").add("language", "string").add("posterior", "double")
+    out = out.add(spans_out, T.ArrayType(span)) if spans_out else out
     return ready.mapInArrow(run, out)
 
 
