@@ -44,10 +44,28 @@ def test_label_model_finds_accuracies_and_ties():
     y = (g.random(4000) < 0.3).astype(int)
     good = np.where(g.random((4000, 3)) < 0.9, y[:, None], 1 - y[:, None])
     copies = np.repeat(np.where(g.random((4000, 1)) < 0.6, y[:, None], 1 - y[:, None]), 5, axis=1)
-    q, rate, share = o.label_model(np.concatenate((good, copies), axis=1).astype(float), y, np.ones(4000))
-    assert np.abs(rate[1][:3] - 0.9).max() < 0.05 and np.abs(rate[0][:3] - 0.1).max() < 0.05
-    assert share[:3].min() > 0.8 and share[3:].max() < 0.25
-    assert ((q > 0.5) == y).mean() > 0.95
+    votes = np.concatenate((good, copies), axis=1).astype(float)
+    given = np.where(g.random(4000) < 0.85, y, 1 - y)  # labels are wrong as well
+    q, rate, block = o.label_model(votes, given, np.ones(4000))
+    assert len(set(block[:3].tolist())) == 3 and len(set(block[3:].tolist())) == 1 and block[3] not in block[:3]
+    assert np.abs(np.diag(rate) - 0.85).max() < 0.04
+    assert ((q > 0.5) == y).mean() > 0.95 > (given == y).mean()
+    # five copies of one voter count as one
+    alone = o.label_model(np.concatenate((good, copies[:, :1]), axis=1).astype(float), given, np.ones(4000))[0]
+    assert np.abs(alone - q).mean() < 0.02
+
+
+def test_words_at_the_end_of_long_texts_are_learned(spark, docs):
+    rows, labels = [], []
+    for i in range(200):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join([*rng.choices(WORDS, k=6000), *(f"u{i}q{j}" for j in range(30))]) + (f" {rng.choice(BAD)} {rng.choice(BAD)}" if toxic else "")))
+        labels.append((i, 1, int(toxic)))
+    got = o.op10_toxicity(spark, docs(rows, labels=(labels, LABELS))).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 30 and not any(r.predicted for r in held if r.doc_id % 4)
+    toxic = [r.predicted for r in held if r.doc_id % 4 == 0]
+    assert sum(toxic) >= 0.8 * len(toxic) > 5
 
 
 def test_passage_copies_make_no_voter():

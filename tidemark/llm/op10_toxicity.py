@@ -2,13 +2,14 @@
 
 Method. Lexicon voters are words that sampled toxic documents hold far more often than others; each votes toxic where it
 occurs. Pattern voters look at the form of the text (shouting, runs of exclamation marks, masked words, no lexicon word at all).
-A generative model with a hidden label estimates by expectation maximisation how each voter votes given the label, and how
-voters correlate beyond what the label explains; voters that say the same thing together share their weight. The
-sampled documents' own labels are one more voter, of a stated accuracy. A logistic classifier over the voters and all hashed
+A generative model with a hidden label estimates by expectation maximisation how often each voter fires given the label, and how far the
+given labels are to be trusted: they are one more voter, whose rates of error are estimated like the others'. Correlation is part of the model: voters
+that fire together more than the label explains form a block, and a block has one joint distribution, of how many of its
+voters fire, instead of one for each voter. A logistic classifier over the voters and all hashed
 words is then fitted to the model's posteriors, and scores every whole text.
 
-Training. At most SAMPLE labelled documents of each label, and SAMPLE_CHARS characters of each, chosen by a hash of the id,
-go to one task, which fits the model; only ids and the model reach the driver. Near copies among them count once. Sampling is undone by weights.
+Training. At most SAMPLE labelled documents of each label, chosen by a hash of the id. Their whole texts are turned into counts of hashed words where they are read;
+those go to one task, which fits the model; only ids and the model reach the driver. Near copies among them count once. Sampling is undone by weights.
 
 Cases. A null text is an empty one and is scored like any other. With no labelled document, scores are 0; with one label only,
 they are that label's share as smoothed. Of several labels of one document the larger holds; null labels are left out.
@@ -29,14 +30,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.textvec import fitted, hash_words, lowered, mix, plain_words, slices
 
 SAMPLE = 3000
-SAMPLE_CHARS = 20000
-VOTERS = 200
+#: Lexicon words at most, those that tell most; far more than pass the bars below in a sample of this size.
+VOTERS = 4096
 #: A lexicon word occurs in this many sampled toxic documents at least, and is this many times as frequent there.
 LEAST_DOCS = 4
 LIFT = 8.0
 #: And the log likelihood ratio of that exceeds the log of the number of words by this much.
 CERTAINTY = 6.0
-LABEL_ACCURACY = 0.98
+#: How far given labels are trusted before anything is known: as if so many documents had been right, and so many wrong.
+TRUST = (9.0, 1.0)
+#: Voters whose firing correlates by more than this, beyond what the label explains, form a block.
+TIED = 0.2
 BUCKETS = 1 << 15
 THRESHOLD = 0.3
 PATTERNS = ("shout", "exclaim", "masked", "clean")
@@ -49,6 +53,19 @@ class Words:
     key: np.ndarray
     first: np.ndarray
     form: np.ndarray  # texts x 3: the pattern votes that don't need the lexicon
+    times: np.ndarray | None = None  # how often each word is there, if not listed that often
+
+    def means(self, x: np.ndarray) -> np.ndarray:
+        """The mean of a figure of words over each text's words."""
+        total = np.concatenate(([0.0], np.cumsum(x if self.times is None else x * self.times)))
+        return (total[self.first[1:]] - total[self.first[:-1]]) / np.maximum(self.sizes(), 1)
+
+    def sizes(self) -> np.ndarray:
+        """How many words each text has."""
+        if self.times is None:
+            return np.diff(self.first)
+        total = np.concatenate(([0], np.cumsum(self.times)))
+        return total[self.first[1:]] - total[self.first[:-1]]
 
 
 def read_words(raw: pa.Array) -> Iterator[tuple[int, Words]]:
@@ -89,7 +106,7 @@ class Model:
         return ballots(self.lexicon, w)
 
     def score(self, w: Words) -> np.ndarray:
-        z = self.bias + self.ballots(w) @ self.votes + _means(self.buckets[_bucket(w.key)], w.first)
+        z = self.bias + self.ballots(w) @ self.votes + w.means(self.buckets[_bucket(w.key)])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -97,12 +114,6 @@ def _bucket(key: np.ndarray) -> np.ndarray:
     return (key & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _means(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(x)))
-    n = np.diff(first)
-    return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
-
-
 def ballots(lexicon: np.ndarray, w: Words) -> np.ndarray:
     """Which voters fire on each text: lexicon words that occur, then PATTERNS."""
     n = len(w.first) - 1
@@ -117,28 +128,59 @@ def ballots(lexicon: np.ndarray, w: Words) -> np.ndarray:
     return out
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posteriors, P(vote | label) as 2 x voters, shares of weight left after correlation) from 0/1 votes and the given labels as one voter."""
-    prior = np.average(labels, weights=weight)
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
-    given = np.where(labels == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    q = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    share = np.ones(votes.shape[1])
+def blocks_of(votes: np.ndarray, q: np.ndarray, weight: np.ndarray, tied: float = TIED) -> np.ndarray:
+    """The block of each voter: voters tied directly or through others by correlation that the label doesn't explain."""
+    mass = np.stack((weight * (1 - q), weight * q))
+    rate = (mass @ votes) / np.maximum(mass.sum(axis=1, keepdims=True), 1e-9)
+    rest = votes - np.outer(q, rate[1]) - np.outer(1 - q, rate[0])
+    cov = (rest * weight[:, None]).T @ rest / weight.sum()
+    sd = np.sqrt(np.diag(cov)) + 1e-9
+    near = cov / np.outer(sd, sd) > tied
+    block = np.arange(votes.shape[1])
+    while True:
+        least = np.where(near, block[None, :], votes.shape[1]).min(axis=1, initial=votes.shape[1])
+        new = np.minimum(block, least)
+        new = new[new]
+        if (new == block).all():
+            return block
+        block = new
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posteriors, P(given label | label) as 2 x 2, block of each voter) from 0/1 votes and the given labels.
+
+    Of a block the model knows whether none, one or more of its voters fire.
+    """
+    start = TRUST[0] / sum(TRUST)
+    q = np.where(labels == 1, start, 1 - start)
+    # with labels that err, good voters correlate at first: only those that nearly always agree are tied, until the labels' errors are known
+    for tied in (4 * TIED, TIED):
+        block = blocks_of(votes, q, weight, tied)
+        q, given = _expect(votes, labels, weight, block, q, rounds)
+    return q, given, block
+
+
+def _expect(votes: np.ndarray, labels: np.ndarray, weight: np.ndarray, block: np.ndarray, q: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors, P(given label | label)) by expectation maximisation, with one distribution for each block."""
+    names = np.unique(block)
+    fired = np.stack([np.minimum(votes[:, block == b].sum(axis=1), 2) for b in names], axis=1) if len(names) else np.zeros((len(labels), 0))
+    given = np.eye(2)
     for _ in range(rounds):
         mass = np.stack((weight * (1 - q), weight * q))
-        rate = (mass @ votes + 0.1) / (mass.sum(axis=1, keepdims=True) + 0.2)
-        rest = votes - np.outer(q, rate[1]) - np.outer(1 - q, rate[0])
-        cov = (rest * weight[:, None]).T @ rest / weight.sum()
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        tied = np.clip(cov / np.outer(sd, sd), 0, 1)
-        np.fill_diagonal(tied, 0)
-        share = 1 / (1 + np.where(tied > 0.2, tied, 0).sum(axis=1))
-        odds = votes * (np.log(rate[1]) - np.log(rate[0])) + (1 - votes) * (np.log1p(-rate[1]) - np.log1p(-rate[0]))
-        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + given + odds @ share, -40, 40)))
-        moved, q = np.abs(new - q).max(), new
+        whole = mass.sum(axis=1, keepdims=True)
+        prior = np.clip(whole[1, 0] / whole.sum(), 1e-6, 1 - 1e-6)
+        odds = np.full(len(labels), np.log(prior / (1 - prior)))
+        for value in (0, 1, 2):
+            rate = (mass @ (fired == value) + 0.1) / (whole + 0.3)
+            odds += (fired == value) @ (np.log(rate[1]) - np.log(rate[0]))
+        right = mass @ np.stack((labels == 0, labels == 1), axis=1)
+        given = (right + np.array([[TRUST[0], TRUST[1]], [TRUST[1], TRUST[0]]])) / (whole + sum(TRUST))
+        odds += np.log(given[1, labels]) - np.log(given[0, labels])
+        new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        moved, q = np.abs(new - q).max(initial=0.0), new
         if moved < 1e-6:
             break
-    return q, rate, share
+    return q, given
 
 
 def fit(texts: list[str], labels: list[int], weights: dict[int, float] | None = None) -> Model | None:
@@ -146,12 +188,14 @@ def fit(texts: list[str], labels: list[int], weights: dict[int, float] | None =
     if not texts:
         return None
     parts = list(read_words(pa.array(texts, pa.string())))
-    key = np.concatenate([w.key for _, w in parts])
     counts = np.concatenate([np.diff(w.first) for _, w in parts])
-    first = np.concatenate(([0], np.cumsum(counts)))
-    words = Words(key, first, np.concatenate([w.form for _, w in parts]))
-    y = np.array(labels)
-    doc = np.repeat(np.arange(len(y)), counts)
+    return fit_words(Words(np.concatenate([w.key for _, w in parts]), np.concatenate(([0], np.cumsum(counts))), np.concatenate([w.form for _, w in parts])), labels, weights)
+
+
+def fit_words(words: Words, labels: list[int], weights: dict[int, float] | None = None) -> Model:
+    """A model of the words of labelled texts."""
+    key, y = words.key, np.array(labels)
+    doc = np.repeat(np.arange(len(y)), np.diff(words.first))
     pair_key, pair_doc = np.unique(np.stack((key, doc.astype(np.uint64))), axis=1) if len(key) else (np.zeros(0, np.uint64),) * 2
     pair_doc = pair_doc.astype(np.int64)
     names, slot, held = np.unique(pair_key, return_inverse=True, return_counts=True)
@@ -167,8 +211,10 @@ def fit(texts: list[str], labels: list[int], weights: dict[int, float] | None =
     gain = gain[good]
     lexicon = np.sort(names[good[np.argsort(-gain, kind="stable")][:VOTERS]])
     weight = np.array([(weights or {}).get(int(v), 1.0) for v in y]) * once
-    q, _, share = label_model(ballots(lexicon, words), y, weight)
-    return _classifier(lexicon, words, q, weight, share)
+    x = ballots(lexicon, words)
+    q, _, block = label_model(x, y, weight)
+    share = 1 / np.bincount(block, minlength=len(block))[block]
+    return _classifier(lexicon, words, x, q, weight, share)
 
 
 def _first_of_copies(key: np.ndarray, doc: np.ndarray, held: np.ndarray, y: np.ndarray, parts: int = 8, same: int = 5) -> np.ndarray:
@@ -198,17 +244,17 @@ def _first_of_copies(key: np.ndarray, doc: np.ndarray, held: np.ndarray, y: np.n
     return once
 
 
-def _classifier(lexicon: np.ndarray, words: Words, q: np.ndarray, weight: np.ndarray, share: np.ndarray, rounds: int = 300) -> Model:
-    x = ballots(lexicon, words)
+def _classifier(lexicon: np.ndarray, words: Words, x: np.ndarray, q: np.ndarray, weight: np.ndarray, share: np.ndarray, rounds: int = 300) -> Model:
     model = Model(lexicon, np.zeros(x.shape[1]), np.zeros(BUCKETS), float(np.log((np.average(q, weights=weight) + 1e-4) / (1 - np.average(q, weights=weight) + 1e-4))))
-    n = np.diff(words.first)
-    slot, doc = _bucket(words.key), np.repeat(np.arange(len(n)), n)
+    n = words.sizes()
+    slot, doc = _bucket(words.key), np.repeat(np.arange(len(n)), np.diff(words.first))
+    times = np.ones(len(slot)) if words.times is None else words.times
     s_votes, s_buckets, s_bias = np.full(x.shape[1], 1e-8), np.full(BUCKETS, 1e-8), 1e-8
     weight = weight / weight.sum()
     for _ in range(rounds):
         gap = weight * (q - model.score(words))
         g = gap @ x * share - 1e-5 * model.votes
-        g_buckets = np.bincount(slot, (gap / np.maximum(n, 1))[doc], BUCKETS) - 1e-4 * model.buckets
+        g_buckets = np.bincount(slot, (gap / np.maximum(n, 1))[doc] * times, BUCKETS) - 1e-4 * model.buckets
         g_bias = gap.sum()
         s_votes, s_buckets, s_bias = s_votes + g * g, s_buckets + g_buckets**2, s_bias + g_bias**2
         model.votes += 0.5 * g / np.sqrt(s_votes)
@@ -229,14 +275,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str
     parts = [own.filter(F.col("y") == y).orderBy(hashed, "i").limit(sample) for y in sizes]
     ids = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     picked = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    texts = docs.select(F.col(doc_id).alias("i"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    rows = texts.join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "t").limit(4 * sample)
+    texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-    def learn(table: pa.Table) -> Model | None:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, times, form = [], [], []
+            for _, w in read_words(batch.column(2)):
+                for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+                    own, n = np.unique(w.key[a:b], return_counts=True)
+                    keys.append(own.view(np.int64))
+                    times.append(n)
+                form += w.form.astype(np.int8).tolist()
+            kinds = pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip((keys, times, form), kinds, strict=True)]], names=["y", "h", "keys", "times", "form"])
+
+    rows = texts.join(F.broadcast(picked), "i").select("y", F.xxhash64("i", "t").alias("h"), "t").mapInArrow(counted, "y int, h bigint, keys array<bigint>, times array<bigint>, form array<tinyint>")
+    rows = rows.orderBy("h").limit(4 * sample)
+
+    def learn(table: pa.Table) -> Model:
         y = table.column("y").to_pylist()
-        return fit(table.column("t").to_pylist(), y, {k: n / y.count(k) for k, n in sizes.items() if k in y})
+        flat = lambda c: table.column(c).combine_chunks()
+        keys = flat("keys")
+        first = np.concatenate(([0], np.cumsum(np.diff(keys.offsets.to_numpy()))))
+        words = Words(keys.flatten().to_numpy().view(np.uint64), first, flat("form").flatten().to_numpy().reshape(-1, 3).astype(bool), flat("times").flatten().to_numpy())
+        return fit_words(words, y, {k: n / y.count(k) for k, n in sizes.items() if k in y})
 
-    return fitted(rows.select("t", "y"), learn)
+    return fitted(rows.select("y", "keys", "times", "form"), learn)
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
