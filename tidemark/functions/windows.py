@@ -60,14 +60,17 @@ class Panel:
 
     def __init__(self, df: DataFrame, keys=("ticker",), order=("ts",)):
         self._df, self.keys, self.order = df, list(keys), list(order)
-        self._held: dict[str, Column] = {}
+        # what is staged, by how many staged columns it builds on in turn: one projection a level, however many columns
+        self._levels: list[dict[str, Column]] = []
+        self._level_of: dict[str, int] = {}
         self._count = 0
 
     @property
     def df(self) -> DataFrame:
         """The DataFrame with all columns staged so far."""
-        if self._held:
-            self._df, self._held = self._df.withColumns(self._held), {}
+        for columns in self._levels:
+            self._df = self._df.withColumns(columns)
+        self._levels, self._level_of = [], {}
         return self._df
 
     def let(self, value: Column, name: str | None = None) -> Column:
@@ -75,10 +78,13 @@ class Panel:
         if name is None:
             self._count += 1
             name = f"_w{self._count}_"
-        text = str(value)
-        if name in self._held or any(re.search(rf"(?<![\w.]){re.escape(k)}(?!\w)", text) for k in self._held):
-            _ = self.df
-        self._held[name] = value
+        elif name in self._level_of or name in self._df.columns:
+            _ = self.df  # a new meaning of a name: what was said before is of the old one
+        level = 1 + max((self._level_of[w] for w in set(re.findall(r"\w+", str(value))) if w in self._level_of), default=-1)
+        if level == len(self._levels):
+            self._levels.append({})
+        self._levels[level][name] = value
+        self._level_of[name] = level
         return F.col(name)
 
     def base(self):

@@ -58,6 +58,11 @@ def _trades(frame: pd.DataFrame, stop: float, target: float | None, trail: float
     return pd.DataFrame({"entry_ts": frame[ts].to_numpy()[i], "exit_ts": frame[ts].to_numpy()[j], "direction": side.astype("int32"), "entry_price": entry, "exit_price": px, "reason": [t[3] for t in found], "pnl": ret * entry, "ret": ret})
 
 
+def trades_of(frame: pd.DataFrame, stop: float, target: float | None, trail: float | None = None, fee_bps: float = FEE_BPS, atr_n: int = 14, ts: str = "ts") -> pd.DataFrame:
+    """The trades of one series with a signal column, in time order."""
+    return _trades(frame, stop, target, trail, fee_bps, atr_n, ts)
+
+
 def backtest(signals: DataFrame, stop: float = 1.5, target: float = 3.0, trail: float | None = None, fee_bps: float = FEE_BPS, atr_n: int = 14, key: str = "ticker", ts: str = "ts") -> DataFrame:
     """Trades of bars with a signal column, scanned series by series; with `trail` the stop follows and there is no target."""
 

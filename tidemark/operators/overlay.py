@@ -60,8 +60,8 @@ def model(name: str, seed: int = 0, inputs: int = 56, classes: int = 2):
     raise ValueError(f"unknown model {name}")
 
 
-def fit_predict(name: str, train: DataFrame, frames: list[DataFrame], names: list[str], label: str = "y", out: str = "q", seed: int = 0) -> list[DataFrame]:
-    """frames with the probability of label 1. Missing features take the training median; all are scaled."""
+def fit_predict(name: str, train: DataFrame, frames: list[DataFrame], names: list[str], label: str = "y", out: str = "q", seed: int = 0, classes: int = 2) -> list[DataFrame]:
+    """frames with the probability of label 1, or with more classes a column of each one's score. Missing features take the training median; all are scaled."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -73,10 +73,15 @@ def fit_predict(name: str, train: DataFrame, frames: list[DataFrame], names: lis
         Imputer(inputCols=known, outputCols=[f"{f}_" for f in known], strategy="median"),
         VectorAssembler(inputCols=[f"{f}_" for f in known], outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="x", withMean=True),
-        model(name, seed, len(known)),
+        model(name, seed, len(known), classes),
     ]
     fitted = Pipeline(stages=steps).fit(as_double(train).withColumn("y", F.col(label).cast("double")))
-    return [fitted.transform(as_double(f)).withColumn(out, vector_to_array("probability")[1]).select(*f.columns, out) for f in frames]
+    if classes == 2:
+        return [fitted.transform(as_double(f)).withColumn(out, vector_to_array("probability")[1]).select(*f.columns, out) for f in frames]
+    # models of one class against the rest give margins instead of probabilities; a class that training never saw has none
+    scores = vector_to_array("probability" if name != "boosted" else "rawPrediction")
+    each = {f"{out}{k}": F.coalesce(F.get(scores, F.lit(k)), F.lit(0.0)) for k in range(classes)}
+    return [fitted.transform(as_double(f)).withColumns(each).select(*f.columns, *each) for f in frames]
 
 
 def trade_context(p: Panel, position, close="close", vol="dvol") -> tuple[Column, Column, Column, Column]:

@@ -28,12 +28,19 @@ def cross_signal(p: Panel, a, b) -> Column:
     return p.let(F.when(up, 1).when(down, -1).otherwise(0))
 
 
+def _jma_signal(f: pd.DataFrame, fast: int = 7, slow: int = 21) -> np.ndarray:
+    a, b = (pd.Series(K.jma(K.series(f, "close"), n, warm=False)) for n in (fast, slow))
+    up, down = (a > b) & (a.shift() <= b.shift()), (a < b) & (a.shift() >= b.shift())
+    return up.to_numpy().astype(int) - down.to_numpy().astype(int)
+
+
 def jma_signals(bars: DataFrame, fast: int = 7, slow: int = 21) -> DataFrame:
     """Crossings of two Jurik-style means."""
-    lines = lambda f: {"_fast": K.jma(K.series(f, "close"), fast, warm=False), "_slow": K.jma(K.series(f, "close"), slow, warm=False)}
-    p = Panel(K.fold(bars, {"_fast": "double", "_slow": "double"}, lines))
-    p.let(cross_signal(p, "_fast", "_slow"), "signal")
-    return p.drop_temporary().drop("_fast", "_slow")
+    return K.fold(bars, {"signal": "int"}, lambda f: {"signal": _jma_signal(f, fast, slow)})
+
+
+#: For grids: the signal of one series as a frame. Functions with a kernel run all parameter sets in one pass.
+jma_signals.kernel = _jma_signal
 
 
 def halftrend_signals(bars: DataFrame, by_session: bool = True, amplitude: int = 2) -> DataFrame:
@@ -63,15 +70,18 @@ def _efficiency_line(x: np.ndarray, fast: float, slow: float, tiny: float, first
     return out
 
 
+def _lhp_signal(f: pd.DataFrame, fast: float = 0.6, slow: float = 0.04) -> np.ndarray:
+    c = K.series(f, "close")
+    x = np.log((c.shift(1) / c.where(c != 0)).abs().replace(0, np.nan)).to_numpy()
+    return _levels_signal(x, _efficiency_line(x, fast, slow, 1e-10, 0.0))
+
+
 def lhp_signals(bars: DataFrame, fast: float = 0.6, slow: float = 0.04) -> DataFrame:
     """Log steps against the last levels of their own adaptive mean."""
+    return K.fold(bars, {"signal": "int"}, lambda f: {"signal": _lhp_signal(f, fast, slow)})
 
-    def lines(f: pd.DataFrame) -> dict:
-        c = K.series(f, "close")
-        x = np.log((c.shift(1) / c.where(c != 0)).abs().replace(0, np.nan)).to_numpy()
-        return {"signal": _levels_signal(x, _efficiency_line(x, fast, slow, 1e-10, 0.0))}
 
-    return K.fold(bars, {"signal": "int"}, lines)
+lhp_signals.kernel = _lhp_signal
 
 
 def ltp_kama_signals(bars: DataFrame, period: int = 55, fast: float = 0.5, slow: float = 0.08, window: int = 14) -> DataFrame:

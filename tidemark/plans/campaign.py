@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 from importlib import import_module
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import backtest, metrics, portfolio
 from tidemark.operators.positions import simulate
@@ -22,20 +26,52 @@ def bind(name: str) -> SignalFn:
     return getattr(import_module(module), function)
 
 
+def _sets(grid: dict[str, list]) -> list[tuple[str, dict]]:
+    """(param_id, parameters) of every combination."""
+    return [(",".join(f"{k}={v}" for k, v in zip(grid, values, strict=True)), dict(zip(grid, values, strict=True))) for values in product(*grid.values())]
+
+
 def signal_grid(bars: DataFrame, signal: SignalFn | str, grid: dict[str, list]) -> DataFrame:
-    """bars with signals for every combination of parameters, told apart by param_id. The grid is small; each combination is one more branch of one plan."""
-    from itertools import product
+    """bars with signals for every combination of parameters, told apart by param_id.
 
-    fn, parts = bind(signal) if isinstance(signal, str) else signal, []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        parts.append(fn(bars, **params).withColumn("param_id", F.lit(",".join(f"{k}={v}" for k, v in params.items()))))
-    return reduce(DataFrame.unionByName, parts)
+    A signal function with a kernel runs all combinations in one pass over each series. Of others each combination is a branch of one plan.
+    """
+    fn, sets = bind(signal) if isinstance(signal, str) else signal, _sets(grid)
+    kernel = getattr(fn, "kernel", None)
+    if kernel is None:
+        return reduce(DataFrame.unionByName, [fn(bars, **params).withColumn("param_id", F.lit(name)) for name, params in sets])
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts", kind="stable").reset_index(drop=True)
+        return pd.concat([frame.assign(signal=np.nan_to_num(np.asarray(kernel(frame, **params), float)).astype("int32"), param_id=name) for name, params in sets])
 
-def run_grid(bars: DataFrame, signal: SignalFn | str, grid: dict[str, list], stops=backtest.STOP_GRID) -> DataFrame:
-    """Trades of every ticker, parameter set and stop; the signal is made once for all stops."""
-    return backtest.backtest_grid(signal_grid(bars, signal, grid), stops=stops)
+    schema = T.StructType([*bars.schema.fields, T.StructField("signal", T.IntegerType()), T.StructField("param_id", T.StringType())])
+    return bars.groupBy("ticker").applyInPandas(run, schema)
+
+
+def run_grid(bars: DataFrame, signal: SignalFn | str, grid: dict[str, list], stops=backtest.STOP_GRID, spread: int = 1) -> DataFrame:
+    """Trades of every ticker, parameter set and stop; the signal is made once for all stops.
+
+    With a kernel the whole grid of a ticker is one pass, and only trades leave it: one scan and one shuffle however large the grid is. `spread` deals the
+    combinations of a ticker to so many tasks, for grids that are large against the number of tickers.
+    """
+    fn = bind(signal) if isinstance(signal, str) else signal
+    if getattr(fn, "kernel", None) is None:
+        return backtest.backtest_grid(signal_grid(bars, fn, grid), stops=stops)
+    sets, kernel = _sets(grid), fn.kernel
+    dealt = bars.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(spread, len(sets)) - 1)))) if spread > 1 else bars.withColumn("_part", F.lit(0))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts", kind="stable").reset_index(drop=True)
+        parts = []
+        for name, params in sets[int(frame["_part"].iloc[0]) :: max(spread, 1)]:
+            own = frame.assign(signal=np.nan_to_num(np.asarray(kernel(frame, **params), float)).astype("int32"))
+            parts += [backtest.trades_of(own, s, t).assign(ticker=frame["ticker"].iloc[0], param_id=name, stop_mult=float(s), target_mult=float(t)) for s, t in stops]
+        return pd.concat(parts)[["ticker", "param_id", "stop_mult", "target_mult", *names]]
+
+    names = [c.split()[0] for c in backtest.TRADES.split(", ")]
+    kind = bars.schema["ticker"].dataType.simpleString()
+    return dealt.groupBy("ticker", "_part").applyInPandas(run, f"ticker {kind}, param_id string, stop_mult double, target_mult double, {backtest.TRADES}")
 
 
 def resume(grid: DataFrame, path: str, run: Callable[[DataFrame], DataFrame], key: str = "param_id") -> DataFrame:

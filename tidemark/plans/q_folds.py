@@ -181,7 +181,7 @@ def features_56(spark, d):
 
 @query("rule_metrics")
 def rule_metrics(spark, d):
-    return campaign.evaluate_rules(event_bars(spark, d, "4h"), ["sma_50_200", "ema_12_26", "donchian_20", "supertrend_10_3", "tsmom_multi", "psar"])
+    return campaign.evaluate_rules(event_bars(spark, d, "4h"))
 
 
 @query("campaign_grid")
@@ -211,12 +211,12 @@ def ltp_kama(spark, d):
 
 @query("quad_stochastic_signals")
 def quad_stochastic(spark, d):
-    return SG.quad_stochastic(event_bars(spark, d), least=1).select("ticker", "ts", "signal")
+    return SG.quad_stochastic(event_bars(spark, d)).select("ticker", "ts", "signal")
 
 
 @query("range_breakout_signals")
 def range_breakout(spark, d):
-    return SG.range_breakout(event_bars(spark, d), atr_n=50).select("ticker", "ts", "signal")
+    return SG.range_breakout(event_bars(spark, d)).select("ticker", "ts", "signal")
 
 
 @query("mean_reversion_signals")
@@ -236,7 +236,7 @@ def rainflow(spark, d):
 
 @query("leverage_book")
 def leverage_book(spark, d):
-    return BT.leverage(book(spark, d).withColumnRenamed("ticker", "strategy"), 5.0, cap=10, paths=50)
+    return BT.leverage(book(spark, d).withColumnRenamed("ticker", "strategy"), 5.0, cap=10)
 
 
 @query("combined_sleeves")

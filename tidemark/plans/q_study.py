@@ -360,13 +360,13 @@ def month_folds(spark, d):
 
 
 @query("quarterly_walk_forward", f"""WITH f AS (SELECT CAST(k AS INTEGER) AS fold, DATE '1995-01-01' + to_months(CAST(k * 3 AS INTEGER)) AS a, DATE '1995-01-01' + to_months(CAST(12 + k * 3 AS INTEGER)) AS b, DATE '1995-01-01' + to_months(CAST(15 + k * 3 AS INTEGER)) AS c FROM range(0, 12) t(k))
-SELECT fold, ticker, count(*) FILTER (exit_ts < b) AS n_train, count(*) FILTER (exit_ts >= b) AS n_test, round(avg(ret) FILTER (exit_ts < b), 6) AS train_mean, round(avg(ret) FILTER (exit_ts >= b), 6) AS test_mean FROM ({_BOOK}) JOIN f ON exit_ts >= a AND exit_ts < c GROUP BY ALL""")
+SELECT fold, ticker, count(*) FILTER (exit_ts < b) AS n_train, count(*) FILTER (exit_ts >= b) AS n_test, round(avg(ret) FILTER (exit_ts < b), 9) AS train_mean, round(avg(ret) FILTER (exit_ts >= b), 9) AS test_mean FROM ({_BOOK}) JOIN f ON exit_ts >= a AND exit_ts < c GROUP BY ALL""")
 def quarterly_walk_forward(spark, d):
     folds = spark.createDataFrame(PF.month_folds("1995-01-01", 48, 12, 3), "fold int, a date, b date, c date")
     own = book(spark, d).join(F.broadcast(folds), (F.col("exit_ts") >= F.col("a")) & (F.col("exit_ts") < F.col("c")))  # 12 rows
     before = F.col("exit_ts") < F.col("b")
     g = own.groupBy("fold", "ticker").agg(F.count_if(before).alias("n_train"), F.count_if(~before).alias("n_test"), F.avg(F.when(before, F.col("ret"))).alias("train_mean"), F.avg(F.when(~before, F.col("ret"))).alias("test_mean"))
-    return rounded(g, "train_mean", "test_mean")
+    return rounded(g, "train_mean", "test_mean", digits=9)
 
 
 @query("sector_rebalance", f"""WITH p AS (SELECT CAST(k AS INTEGER) AS period, CAST(DATE '1996-01-01' + to_months(CAST(12 * k AS INTEGER)) AS TIMESTAMP) AS start FROM range(0, 3) t(k)),
@@ -595,4 +595,21 @@ def trade_bootstrap(spark, d):
     return BT.bootstrap_paths(spark, rets or [0.0], paths=200, days=100)
 
 
+_OVERLAY_FOLDS = [{"label": "1", "train_start": None, "val_start": "2024-01-11", "test_start": "2024-01-16", "test_end": "2024-02-01"}]
+
+
+@query("overlay_stages")
+def overlay_stages(spark, d):
+    from tidemark.plans import overlay_run
+
+    return overlay_run.run(event_bars(spark, d), "sma_50_200", _OVERLAY_FOLDS, overlay_run.Settings(least=50))[0]
+
+
+@query("overlay_choices")
+def overlay_choices(spark, d):
+    from tidemark.plans import overlay_run
+
+    return overlay_run.run(event_bars(spark, d), "ema_12_26", _OVERLAY_FOLDS, overlay_run.Settings(least=50, stages=("filter", "gate")))[1]
+
+
 QUERIES["vol_target_weights"], ORACLE["vol_target_weights"] = q_folds.QUERIES.pop("vol_target_weights"), q_folds.ORACLE.pop("vol_target_weights")
