@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_bars, q_folds, q_positions, q_study
+from tidemark.plans import q_bars, q_folds, q_positions, q_signals, q_study
 
-_PARTS = (q_bars, q_positions, q_folds, q_study)
+_PARTS = (q_bars, q_positions, q_folds, q_study, q_signals)
 
 
 def queries() -> dict:

@@ -199,31 +199,11 @@ def halftrend_session(spark, d):
     return SG.halftrend_signals(event_bars(spark, d)).select("ticker", "ts", "signal")
 
 
-@query("lhp_signals")
-def lhp(spark, d):
-    return SG.lhp_signals(event_bars(spark, d)).select("ticker", "ts", "signal")
-
-
 @query("ltp_kama_signals")
 def ltp_kama(spark, d):
     return SG.ltp_kama_signals(event_bars(spark, d)).select("ticker", "ts", "signal")
 
 
-@query("quad_stochastic_signals")
-def quad_stochastic(spark, d):
-    return SG.quad_stochastic(event_bars(spark, d)).select("ticker", "ts", "signal")
-
-
-@query("range_breakout_signals")
-def range_breakout(spark, d):
-    return SG.range_breakout(event_bars(spark, d)).select("ticker", "ts", "signal")
-
-
-@query("mean_reversion_signals")
-def mean_reversion(spark, d):
-    return SG.mean_reversion(event_bars(spark, d)).select("ticker", "ts", "signal")
-
-
 @query("smc_signals")
 def smc(spark, d):
     return SG.smc_signals(event_bars(spark, d), 20, 5, 50, 100).select("ticker", "ts", "signal")
@@ -248,16 +228,6 @@ def combined_sleeves(spark, d):
     return PF.portfolio_metrics(PF.combine(daily, dict(zip(names, shares.tolist(), strict=True))))
 
 
-@query("series_metrics")
-def series_metrics(spark, d):
-    from tidemark.operators.positions import simulate
-
-    s = simulate(crossing(spark, d)).withColumn("net", 0.01 * F.col("net") / (1 + F.abs("net")))
-    return M.series_metrics(s)
-
-
-
-
 _r10 = "(2.0::DOUBLE / 11)"
 _y = _e("b.close", "y", _r10)
 _z = f"CASE WHEN b.rn < 10 THEN NULL WHEN r.z IS NULL THEN {_y} ELSE {_r10} * ({_y}) + (1 - {_r10}) * r.z END"
@@ -286,11 +256,6 @@ folded("supertrend_bands", lambda f: K.supertrend_bands(f, 10, 3.0), {"line": "d
        S.recursion(B1, {"u": "up0", "d": "dn0", "t": "1"}, {"u": _bu, "d": _bd, "t": _bt}, {"line": "CASE WHEN t = 1 THEN d ELSE u END", "trend": "CAST(t AS INTEGER)"}, [S.TR, S.TR2, {"up0": f"(high + low) / 2 + 3 * ({S.full('avg', 'tr', 10)})", "dn0": f"(high + low) / 2 - 3 * ({S.full('avg', 'tr', 10)})"}]))
 
 
-@query("normalized_dema")
-def normalized_dema(spark, d):
-    return K.fold(event_bars(spark, d), {"x": "double"}, lambda f: {"x": K.normalized_dema(_c(f))}).select("ticker", "ts", "x")
-
-
 @query("cycle_histogram")
 def cycle_histogram(spark, d):
     return K.fold(event_bars(spark, d), {"x": "double"}, lambda f: {"x": K.cycle_histogram(_c(f))}).select("ticker", "ts", "x")
