@@ -210,9 +210,10 @@ def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Mo
     keys, held = np.unique(pairs, return_counts=True)
     lexicon = np.sort(keys[held >= SHARED][np.argsort(-held[held >= SHARED], kind="stable")][:LEXICON])
     model = Model(languages, np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros((size, size)), np.zeros(size), np.zeros(BUCKETS, bool))
-    by_doc = np.unique(np.stack((w.tri, np.repeat(doc, np.diff(np.concatenate((w.tri_at, [len(w.tri)])))))), axis=1)[0]
-    model.seen = np.bincount(by_doc, minlength=BUCKETS) >= min(KNOWN, len(texts))
     entry, reps = model.entry(w), np.diff(np.concatenate((w.tri_at, [len(w.tri)])))
+    by_doc = np.unique(np.repeat(doc, reps) * BUCKETS + w.tri) % BUCKETS
+    model.seen = np.bincount(by_doc, minlength=BUCKETS) >= min(KNOWN, len(texts))
+    of_word = np.repeat(np.arange(len(gold), dtype=np.int32), reps)
     truth = np.eye(size)[gold]
     inner = np.ones(len(gold), bool)
     inner[w.chain[:-1]] = False
@@ -225,12 +226,13 @@ def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Mo
     for _ in range(rounds):
         post, moved, begun = forward_backward(model.scores(w), w.chain, model.move, model.start)
         gap = (truth - post) / len(gold)
-        spread = lambda idx, n, g: np.stack([np.bincount(idx, g[:, k], n) for k in range(size)], axis=1)
+        # a language at a time, as there are several times more trigrams than words
+        spread = lambda idx, n, of: np.stack([np.bincount(idx, gap[:, k] if of is None else gap[of, k], n) for k in range(size)], axis=1)
         steep = [
-            spread(w.tri, BUCKETS, np.repeat(gap, reps, axis=0)),
-            spread(w.head, BUCKETS, gap),
-            spread(w.tail, BUCKETS, gap),
-            spread(entry, len(lexicon) + 1, gap),
+            spread(w.tri, BUCKETS, of_word),
+            spread(w.head, BUCKETS, None),
+            spread(w.tail, BUCKETS, None),
+            spread(entry, len(lexicon) + 1, None),
             (true_move - moved) / len(gold),
             (true_start - begun) / len(gold),
         ]
