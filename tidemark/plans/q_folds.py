@@ -219,15 +219,6 @@ def leverage_book(spark, d):
     return BT.leverage(book(spark, d).withColumnRenamed("ticker", "strategy"), 5.0, cap=10)
 
 
-@query("combined_sleeves")
-def combined_sleeves(spark, d):
-    daily = PF.daily_returns(book(spark, d).withColumnRenamed("ticker", "sleeve"))
-    names = [r[0] for r in daily.select("sleeve").distinct().orderBy("sleeve").collect()]
-    mean, cov, _ = PF.sleeve_moments(daily, names)
-    shares = PF.weights(mean, cov, "inverse_vol")
-    return PF.portfolio_metrics(PF.combine(daily, dict(zip(names, shares.tolist(), strict=True))))
-
-
 _r10 = "(2.0::DOUBLE / 11)"
 _y = _e("b.close", "y", _r10)
 _z = f"CASE WHEN b.rn < 10 THEN NULL WHEN r.z IS NULL THEN {_y} ELSE {_r10} * ({_y}) + (1 - {_r10}) * r.z END"
@@ -261,12 +252,6 @@ def cycle_histogram(spark, d):
     return K.fold(event_bars(spark, d), {"x": "double"}, lambda f: {"x": K.cycle_histogram(_c(f))}).select("ticker", "ts", "x")
 
 
-@query("adaptive_averages")
-def adaptive_averages(spark, d):
-    kernel = lambda f: {"t3": K.t3(_c(f), 5), "frama": K.frama(f), "kama_core": K.kama(_c(f), 3, 2, 50, at_once=True)}
-    return K.fold(event_bars(spark, d), dict.fromkeys(("t3", "frama", "kama_core"), "double"), kernel).select("ticker", "ts", "t3", "frama", "kama_core")
-
-
 @query("strongest_cycle")
 def strongest_cycle(spark, d):
     df = K.fold(event_bars(spark, d), {"period": "int"}, lambda f: {"period": np.full(len(f), K.strongest_cycle(_c(f).to_numpy()), float)})

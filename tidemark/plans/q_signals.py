@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
 from tidemark.operators import metrics as M
+from tidemark.operators import portfolio as PF
 from tidemark.operators import signals as SG
 from tidemark.operators.positions import simulate
 from tidemark.operators.rules import positions
-from tidemark.plans import q_folds, q_positions
+from tidemark.plans import q_folds, q_positions, q_study
 from tidemark.plans import sql as S
 from tidemark.plans.q_bars import event_bars, rounded
-from tidemark.plans.q_positions import crossing
+from tidemark.plans.q_positions import book, crossing
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +146,52 @@ CAST({_sgn('hist')} AS DOUBLE) AS macd_12_26_9, CAST(p.trend AS DOUBLE) AS psar,
 FROM v JOIN ({_turtle}) t USING (ticker, ts) JOIN ({_EMAS}) e USING (ticker, ts) JOIN ({q_folds.ORACLE['macd']}) m USING (ticker, ts) JOIN ({q_folds.ORACLE['psar']}) p USING (ticker, ts) JOIN ({q_folds.ORACLE['supertrend']}) s USING (ticker, ts)""")
 def rule_values(spark, d):
     return rounded(positions(event_bars(spark, d), list(_SHOWN)).select("ticker", "ts", *_SHOWN), "tsmom_multi")
+
+
+_a6 = "(2.0::DOUBLE / 6)"
+
+
+def _smooth(x: str, y: str, first: int) -> str:
+    """The next value of an exponential mean y of x, which begins at a row."""
+    return f"CASE WHEN b.rn < {first} THEN NULL WHEN r.{y} IS NULL THEN {x} ELSE {_a6} * ({x}) + (1 - {_a6}) * r.{y} END"
+
+
+_e1 = _smooth("b.close", "e1", 1)
+_e2 = _smooth(_e1, "e2", 5)
+_e3 = _smooth(f"(1.7 * ({_e1}) - 0.7 * ({_e2}))", "e3", 9)
+_e4 = _smooth(_e3, "e4", 13)
+_e5 = _smooth(f"(1.7 * ({_e3}) - 0.7 * ({_e4}))", "e5", 17)
+_e6 = _smooth(_e5, "e6", 21)
+_reach = lambda n: f"(({S.full('max', 'high', n)}) - ({S.full('min', 'low', n)})) / {n}"
+_rates = [
+    {"h8": _reach(8), "w16": _reach(16), "ch": f"abs(close - {S.lag('close', 3)})", "st": f"abs(close - {S.lag('close')})"},
+    {"hh": f"h8 + {S.lag('h8', 8)}", "er": S.div("ch", S.full("sum", "st", 3))},
+    {"fr": "CASE WHEN hh > 0 AND w16 > 0 THEN least(greatest(pow(2.0::DOUBLE / 199, log2(hh / w16) - 1), 2.0::DOUBLE / 199), 1) END", "kr": "pow(er * (2.0::DOUBLE / 3 - 2.0::DOUBLE / 51) + 2.0::DOUBLE / 51, 2)", "mid": "(high + low) / 2"},
+]
+_averages = S.recursion(
+    B1, {**{f"e{k}": "close" if k == 1 else "CAST(NULL AS DOUBLE)" for k in range(1, 7)}, "fa": "CASE WHEN fr IS NOT NULL THEN mid END", "ka": "close"},
+    {**dict(zip(("e1", "e2", "e3", "e4", "e5", "e6"), (_e1, _e2, _e3, _e4, _e5, _e6), strict=True)), "fa": "CASE WHEN b.fr IS NULL THEN r.fa WHEN r.fa IS NULL THEN b.mid ELSE r.fa + b.fr * (b.mid - r.fa) END", "ka": "CASE WHEN b.kr IS NULL THEN r.ka ELSE r.ka + b.kr * (b.close - r.ka) END"},
+    {"t3": "CASE WHEN rn >= 25 THEN 1.7 * e5 - 0.7 * e6 END", "frama": "fa", "kama_core": "ka"}, _rates,
+)
+
+
+@query("adaptive_averages", _averages)
+def adaptive_averages(spark, d):
+    close = lambda f: K.series(f, "close")
+    kernel = lambda f: {"t3": K.t3(close(f), 5), "frama": K.frama(f), "kama_core": K.kama(close(f), 3, 2, 50, at_once=True)}
+    names = ("t3", "frama", "kama_core")
+    return rounded(K.fold(event_bars(spark, d), dict.fromkeys(names, "double"), kernel).select("ticker", "ts", *names), *names)
+
+
+_SLEEVES = q_study.ORACLE["sleeves_inverse_vol"].replace("round(sum(ret * v / vs), 6) AS ret", "sum(ret * v / vs) AS ret")
+
+
+@query("combined_sleeves", f"""WITH p AS ({_SLEEVES}), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS eq FROM p), k AS (SELECT *, eq / max(eq) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e),
+g AS (SELECT count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS s, last(eq ORDER BY date) AS eq, min(dd) AS dd FROM k) SELECT round((m - 0.06 / 252) / s * sqrt(252), 4) AS sharpe, round(pow(eq, 252.0::DOUBLE / n) - 1, 5) AS cagr, round(dd, 5) AS max_drawdown, round((pow(eq, 252.0::DOUBLE / n) - 1) / abs(dd), 4) AS calmar, round(s * sqrt(252), 5) AS annual_vol, n AS n_days FROM g""")
+def combined_sleeves(spark, d):
+    daily = PF.daily_returns(book(spark, d).withColumnRenamed("ticker", "sleeve"))
+    names = [r[0] for r in daily.select("sleeve").distinct().orderBy("sleeve").collect()]
+    mean, cov, _ = PF.sleeve_moments(daily, names)
+    shares = PF.weights(mean, cov, "inverse_vol")
+    g = PF.portfolio_metrics(PF.combine(daily, dict(zip(names, shares.tolist(), strict=True))))
+    return rounded(rounded(g, "sharpe", "calmar", digits=4), "cagr", "max_drawdown", "annual_vol", digits=5)
