@@ -67,8 +67,8 @@ def test_ids_come_out_with_their_places(spark, docs):
     rows = [(i, text(rng.choice([1, 5, 300, 2000]))) for i in range(30)]
     got = pack_documents(spark.read.parquet(docs(rows) + "/documents.parquet"), keep_ids=True).collect()
     ids = {i: [*bpe.reference(bpe.public_vocabulary()).encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
-    assert sum(len(r.ids) for r in got) == sum(map(len, ids.values()))
-    assert all(r.ids == ids[r.doc_id][r.start : r.start + r.length] and r.offset + r.length <= 2048 for r in got)
+    assert sum(len(r.ids) for r in got) == 4 * sum(map(len, ids.values()))
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length] and r.offset + r.length <= 2048 for r in got)
 
 
 def test_every_capacity_holds():

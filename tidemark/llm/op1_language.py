@@ -171,6 +171,27 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, move: np.ndarray, st
     return post, moved, post[at].sum(axis=0)
 
 
+def _blocks(spliced: list[list[tuple[str, int]]], most: int = 1 << 19) -> Iterator[tuple[Words, np.ndarray]]:
+    """(words, languages of the words) of texts made of pieces in one language each, some texts at a time. Blocks without words are left out."""
+    at = 0
+    while at < len(spliced):
+        body, edges, labels, here, start = [], [], [], 0, at
+        while at < len(spliced) and (here < most or at == start):
+            text, inside = " ".join(t for t, _ in spliced[at]).encode(), here
+            for t, lang in spliced[at]:
+                edges.append(inside)
+                labels.append(lang)
+                inside += len(t.encode()) + 1
+            body.append(text)
+            here += len(text)
+            at += 1
+        data = np.frombuffer(b"".join(body), np.uint8)
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in body])))
+        starts = plain_words(data, offs, digits=False)[0]
+        if len(starts):
+            yield read_words(data, offs), np.array(labels)[np.searchsorted(np.array(edges), starts, side="right") - 1]
+
+
 def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Model | None:
     """A model of (lower-cased text, language) pairs; None without any."""
     languages = sorted({lang for _, lang in texts})
@@ -189,53 +210,39 @@ def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> Mo
                 cut = rng.integers(0, max(1, len(words) - 8))
                 mixed += [(" ".join(own[j : j + 12]).translate({46: 32, 33: 32, 63: 32}), lang), (" ".join(words[cut : cut + 8]).translate({46: 32, 33: 32, 63: 32}), other)]
             spliced.append(mixed)
-    body = [" ".join(t for t, _ in pieces).encode() for pieces in spliced]
-    offs = np.concatenate(([0], np.cumsum([len(b) for b in body])))
-    data = np.frombuffer(b"".join(body), np.uint8)
-    w = read_words(data, offs)
-    starts = plain_words(data, offs, digits=False)[0]
-    edges, labels, at = [], [], 0
-    for pieces, b in zip(spliced, body, strict=True):
-        here = at
-        for t, lang in pieces:
-            edges.append(here)
-            labels.append(lang)
-            here += len(t.encode()) + 1
-        at += len(b)
-    gold = np.array(labels)[np.searchsorted(np.array(edges), starts, side="right") - 1] if len(starts) else np.zeros(0, int)
-    if not len(gold):
+    blocks, pairs, known = [], [], np.zeros(BUCKETS, np.int64)
+    for w, gold in _blocks(spliced):
+        # chains don't go over the edge of a block, so blocks are looked at one after another, and little is held at a time
+        doc = np.searchsorted(w.first, np.arange(len(gold)), side="right")
+        reps = np.diff(np.concatenate((w.tri_at, [len(w.tri)])))
+        pairs.append(np.unique(np.stack((w.key, doc.astype(np.uint64))), axis=1)[0])
+        known += np.bincount(np.unique(np.repeat(doc, reps) * BUCKETS + w.tri) % BUCKETS, minlength=BUCKETS)
+        inner = np.ones(len(gold), bool)
+        inner[w.chain[:-1]] = False
+        steps = np.flatnonzero(inner)
+        true_move = np.zeros((size, size))
+        np.add.at(true_move, (gold[steps - 1], gold[steps]), 1)
+        blocks.append((w, np.eye(size)[gold], np.repeat(np.arange(len(gold), dtype=np.int32), reps), true_move))
+    if not blocks:
         return None
-    doc = np.searchsorted(w.first, np.arange(len(gold)), side="right")
-    pairs = np.unique(np.stack((w.key, doc.astype(np.uint64))), axis=1)[0]
-    keys, held = np.unique(pairs, return_counts=True)
+    total = sum(len(truth) for _, truth, _, _ in blocks)
+    keys, held = np.unique(np.concatenate(pairs), return_counts=True)
     lexicon = np.sort(keys[held >= SHARED][np.argsort(-held[held >= SHARED], kind="stable")][:LEXICON])
-    model = Model(languages, np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros((size, size)), np.zeros(size), np.zeros(BUCKETS, bool))
-    entry, reps = model.entry(w), np.diff(np.concatenate((w.tri_at, [len(w.tri)])))
-    by_doc = np.unique(np.repeat(doc, reps) * BUCKETS + w.tri) % BUCKETS
-    model.seen = np.bincount(by_doc, minlength=BUCKETS) >= min(KNOWN, len(texts))
-    of_word = np.repeat(np.arange(len(gold), dtype=np.int32), reps)
-    truth = np.eye(size)[gold]
-    inner = np.ones(len(gold), bool)
-    inner[w.chain[:-1]] = False
-    steps = np.flatnonzero(inner)
-    true_move = np.zeros((size, size))
-    np.add.at(true_move, (gold[steps - 1], gold[steps]), 1)
-    true_start = truth[w.chain[:-1]].sum(axis=0)
+    model = Model(languages, np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size)), lexicon, np.zeros((len(lexicon) + 1, size)), np.zeros((size, size)), np.zeros(size), known >= min(KNOWN, len(texts)))
     weights = [model.tri, model.head, model.tail, model.lex, model.move, model.start]
     squares = [np.full_like(x, 1e-6) for x in weights]
     for _ in range(rounds):
-        post, moved, begun = forward_backward(model.scores(w), w.chain, model.move, model.start)
-        gap = (truth - post) / len(gold)
-        # a language at a time, as there are several times more trigrams than words
-        spread = lambda idx, n, of: np.stack([np.bincount(idx, gap[:, k] if of is None else gap[of, k], n) for k in range(size)], axis=1)
-        steep = [
-            spread(w.tri, BUCKETS, of_word),
-            spread(w.head, BUCKETS, None),
-            spread(w.tail, BUCKETS, None),
-            spread(entry, len(lexicon) + 1, None),
-            (true_move - moved) / len(gold),
-            (true_start - begun) / len(gold),
-        ]
+        steep = [np.zeros_like(x) for x in weights]
+        for w, truth, of_word, true_move in blocks:
+            post, moved, begun = forward_backward(model.scores(w), w.chain, model.move, model.start)
+            gap = (truth - post) / total
+            for k in range(size):
+                steep[0][:, k] += np.bincount(w.tri, gap[of_word, k], BUCKETS)
+                steep[1][:, k] += np.bincount(w.head, gap[:, k], BUCKETS)
+                steep[2][:, k] += np.bincount(w.tail, gap[:, k], BUCKETS)
+                steep[3][:, k] += np.bincount(model.entry(w), gap[:, k], len(lexicon) + 1)
+            steep[4] += (true_move - moved) / total
+            steep[5] += (truth[w.chain[:-1]].sum(axis=0) - begun) / total
         for x, g, s in zip(weights, steep, squares, strict=True):
             g = g - 1e-6 * x
             s += g * g

@@ -37,7 +37,7 @@ GROUP = 16384
 
 
 def encode_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, sequence: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and, if asked for, ids as little-endian unsigned 32-bit numbers, which travel as bytes."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,16 +59,16 @@ def encode_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, sequ
                         length.append(b - a)
                         crc.append(zlib.crc32(part.tobytes()))
                         if keep_ids:
-                            kept.append(part.astype(np.int32))
+                            kept.append(part.tobytes())
                         a, b, k = b, b + sequence, k + 1
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.array(kept, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
     return docs.select(doc_id, text).mapInArrow(encode, schema)
 
 

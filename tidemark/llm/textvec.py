@@ -127,6 +127,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:m], x[w - have : w - have + m])
 
 
+#: What makes Python workers give freed memory back instead of keeping it for later; several of them wait on each executor.
+LEAN = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_MMAP_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def lean_workers(spark) -> None:
+    """Python workers that are started from now on keep little memory while they wait. What the session sets itself holds."""
+    for name, value in LEAN.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def shared_folder(spark) -> str:
     """The folder that the cluster names for checkpoints. On one machine, as in tests, it is a temporary one where none is named; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
