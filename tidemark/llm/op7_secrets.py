@@ -174,3 +174,43 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
         F.expr(f"sha2({spans_text('secrets', 2)}, 256)").alias("base_sha256"),
         F.expr(spans_text("secrets")).alias("spans"),
     )
+
+
+def _either_case(words: str) -> str:
+    """A pattern with each letter in either case, of ASCII alone: a flag would let letters of other alphabets fold into these."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _oracle() -> str:
+    """The same in DuckDB SQL: matches have places by adding up gaps and matches in turn, and every window is counted anew."""
+    assign = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", _either_case("password|passwd|secret|token|api_?key"))
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+
+    def found(name: str, pattern: str, group: int, keep: str) -> str:
+        p = quoted(pattern)
+        parts = f"unnest(string_split_regex(t, {p})) AS g, unnest(regexp_extract_all(t, {p}, 0)) AS x, unnest(regexp_extract_all(t, {p}, {group})) AS v, unnest(range(len(regexp_extract_all(t, {p}, 0)) + 1)) AS i"
+        ends = "sum(length(g) + length(x)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)"
+        return f"{name} AS (SELECT r, x, e - length(x) AS s, e FROM (SELECT r, x, v, CAST({ends} AS BIGINT) AS e FROM (SELECT r, {parts} FROM d)) WHERE x IS NOT NULL AND {keep})"
+
+    allow = " OR ".join(f"regexp_matches(x, {quoted(p.replace('+)', ')').replace('}+', '}').replace(')*+', ')*'))})" for p in ALLOW)
+    most = {k: math.floor((math.log2(WINDOW) - t) * WINDOW * _UNIT) for k, t in THRESHOLDS.items()}
+    cost = "[" + ", ".join(str(round(n * math.log2(n) * _UNIT) if n else 0) for n in range(WINDOW + 1)) + "]"
+    total = f"list_sum(list_transform(list_distinct(w), lambda c: {cost}[len(list_filter(w, lambda y: y = c)) + 1]))"
+    at_most = f"CASE WHEN regexp_full_match(x, '[0-9a-fA-F]+') THEN {most['hex']} WHEN regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') THEN {most['mixed']} ELSE {most['case']} END"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    told = lambda cond: f"coalesce(string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER ({cond}), '')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{found('a0', assign, 2, 'length(v) >= 8')}, {found('a1', 'AKIA[A-Z0-9]+', 0, 'length(x) >= 16')}, {found('a2', '[0-9a-f]+', 0, 'length(x) >= 32')},
+base AS MATERIALIZED (SELECT r, 0 AS k, s, e FROM a0 UNION ALL SELECT r, 1, s, e FROM a1 UNION ALL SELECT r, 2, s, e FROM a2),
+{found('a3', CANDIDATE, 0, f"regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND NOT ({allow})")},
+free AS (SELECT * FROM a3 c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e)),
+windows AS (SELECT r, s, e, x, p, str_split(substring(x, p + 1, {WINDOW}), '') AS w FROM (SELECT *, unnest(range(length(x) - {WINDOW - 1})) AS p FROM free)),
+hot AS (SELECT r, s + min(p) AS s, s + max(p) + {WINDOW} AS e FROM windows WHERE {total} <= {at_most} GROUP BY r, windows.s, windows.e, x),
+spans AS (SELECT * FROM base UNION ALL SELECT r, 3, s, e FROM hot)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256({told('k < 3')}) AS base_sha256, {told('k IS NOT NULL')} AS spans
+FROM d LEFT JOIN spans USING (r) GROUP BY r, doc_id
+"""
+
+
+ORACLE = _oracle()
