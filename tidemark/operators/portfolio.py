@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import RISK_FREE
 
 
+#: Rows of a dimension that may be broadcast.
+LIMIT = 100_000
+
+
 def daily_returns(trades: DataFrame, by=("sleeve",), exit="exit_ts", ret="ret") -> DataFrame:
     """The mean return of the trades that end on each day."""
     return trades.groupBy(*by, F.to_date(exit).alias("date")).agg(F.avg(ret).alias("ret"))
@@ -145,7 +149,8 @@ def month_folds(start: str, months: int, train: int, test: int, anchored: bool =
 
 def rebalance(book: DataFrame, periods: DataFrame, by=("ticker",), exit="exit_ts", ret="ret") -> DataFrame:
     """For each period the instruments whose score from strictly earlier trades is at or over the median. periods: (period, start)."""
-    past = book.join(F.broadcast(periods), F.col(exit) < F.col("start"))  # a few dates
+    few = periods.limit(LIMIT + 1).count() <= LIMIT
+    past = book.join(F.broadcast(periods) if few else periods, F.col(exit) < F.col("start"))
     score = past.groupBy("period", *by).agg((F.avg(ret) / F.nullif(F.stddev_pop(ret), F.lit(0.0))).alias("score"), F.count("*").alias("n"))
     mid = score.groupBy("period").agg(F.percentile("score", 0.5).alias("mid"))
     return score.join(mid, "period").filter("score >= mid").drop("mid")
