@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies: SimHash through a byte-position inverted index with count filtering, the pairs that it misses, and an exact check."""
     lean_workers(spark)
     return near_copies.drop_near_copies(docs)
 

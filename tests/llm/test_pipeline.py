@@ -107,6 +107,65 @@ def test_joined_within_and_empty(spark, docs):
     assert n.drop_near_copies(df).count() == 0
 
 
+def test_index_of_byte_positions_against_brute_force(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    prints = []
+    for flips in [*range(0, 200, 5)] * 3:
+        one = np.unpackbits(g.integers(0, 256, 64, dtype=np.uint8))
+        two = one.copy()
+        two[g.choice(512, flips, replace=False)] ^= 1
+        prints += [np.packbits(x).tobytes() for x in (one, two)]
+    # alike at one set of positions only, and nowhere
+    one = np.frombuffer(prints[0], np.uint8)
+    for far in ([i for i in range(64) if i not in (0, 7, 26)], range(64)):
+        two = one.copy()
+        two[list(far)] ^= 1
+        prints.append(two.tobytes())
+    rows = list(dict.fromkeys(prints))
+    body = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 64)
+    nodes = spark.createDataFrame([(k, bytearray(fp)) for k, fp in enumerate(rows)], "k bigint, fp binary")
+    for width in (3, 4):
+        want = set()
+        for i in range(len(rows)):
+            for j in range(i):
+                same = body[i] == body[j]
+                listed = any(all(same[(at + s) % 64] for s in n.STEPS[:width]) for at in range(64))
+                if listed and same.sum() >= 6 and np.bitwise_count(body[i] ^ body[j]).sum(dtype=int) <= 140:
+                    want.add((j, i))
+        assert len(want) > 40
+        monkeypatch.setattr(n, "MANY", len(rows) if width == 3 else 0)
+        for tile in (4096, 2):
+            assert {tuple(sorted(r)) for r in n._near(nodes, tile).collect()} == want
+
+
+def test_near_copies_come_by_the_index(spark, docs, monkeypatch):
+    """What the index finds is dropped with no list of shingles at all, and what it misses with no index."""
+    base = [text(k) for k in (60, 200, 500)] * 5
+    base = [(2 * i, text(len(t.split()))) for i, t in enumerate(base)]
+    rows = base + [(i + 1, edited(t, 1)) for i, t in base]
+    # one line over and over, then another end: far from alike as sets
+    rows += [(100 + i, "the same line " * 200 + text(60)) for i in range(4)]
+    df = spark.read.parquet(docs(rows) + "/documents.parquet")
+    want = brute_kept(rows)
+    assert want == sorted(map(str, [i for i, _ in base] + [100, 101, 102, 103]))
+    entries, near = n._entries, n._near
+    monkeypatch.setattr(n, "_entries", lambda *a: entries(*a).limit(0))
+    assert sorted(str(r.doc_id) for r in n.drop_near_copies(df).collect()) == want
+    monkeypatch.setattr(n, "_entries", entries)
+    monkeypatch.setattr(n, "_near", lambda *a: near(*a).limit(0))
+    assert sorted(str(r.doc_id) for r in n.drop_near_copies(df).collect()) == want
+
+
+def test_texts_joined_already_are_not_joined_again():
+    base = np.random.default_rng(3).integers(0, 2**63, (3, 8), dtype=np.uint64)
+    prints = np.stack([base[0], base[1], base[0] ^ np.uint64(1), base[1] ^ np.uint64(1), base[2]])
+    assert sorted(n.joined_within(prints)) == [(0, 2), (1, 3)]
+    assert n.joined_within(prints, known=np.array([7, 7, 7, 7, 7])) == []
+    # what is known goes on to others
+    assert sorted(n.joined_within(prints, known=np.array([7, 7, 8, 9, 10]))) == [(0, 2), (0, 3)]
+    assert n.joined_within(prints, shared=64) == []
+
+
 def test_near_copies_of_any_split_and_repeated_rows(spark, docs):
     base = [text(rng.choice([30, 80])) for _ in range(40)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, edited(t, 1)) for i, t in enumerate(base)] + [(7, base[7])] * 3 + [(None, base[8])] * 2 + [(None, text(20))] * 2

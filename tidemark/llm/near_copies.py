@@ -1,19 +1,25 @@
-"""Near-duplicate groups by the similarity of five-word shingles, found with a prefix filter over all shingles.
+"""Near-duplicate groups by SimHash, through a byte-position inverted index with count filtering, and an exact check.
 
-Method. All shingles have one order. A text is listed under its first ones: as many as it can lack and still be at a similarity of 0.8, and
-one more. So any two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more meet in a list, whatever their length
-and wherever they differ. Shingles that many of a sample of the texts hold come last in the order, so that lists stay short; which ones these are
-changes no result, as any order will do. Within a list the texts are compared by fingerprints of 512 bits, eight SimHashes of the set of
-shingles, and those joined by pairs within 140 bits are candidates of one group. Within candidates the texts are compared: pairs at an exact
-similarity of 0.8 or more are linked, and linked texts are a group.
+Method. As in op2_simhash, fingerprints are listed by bytes at given positions, and pairs are filtered by how many bytes they share. Copies that
+keep a similarity of 0.8 differ in about one bit of eight, too many for 64 bits to tell, so the fingerprint here has 512 bits, eight SimHashes
+of the set of five-word shingles. The index lists its 64 bytes under as many sets of three positions. Within a list the shared
+bytes of each pair are tallied, pairs under 6 are left, and the rest are verified bit by bit: those within 140 bits are joined.
+
+No such index is sure to hold a pair that differs in up to 140 of 512 bits, so a second one follows for the pairs that it missed. All shingles
+have one order, and a text is listed under its first ones: as many as it can lack and still be at a similarity of 0.8, and one more. So any two texts whose
+sets of shingles have a Jaccard similarity of 0.8 or more meet in a list, whatever their length and wherever they differ. Shingles that many of a sample
+of the texts hold come last in the order, so that lists stay short; which ones these are changes no result, as any order will do. Here texts that the
+first index joined aren't compared again; others are joined within 140 bits. All texts that are joined are candidates of one group. Within candidates the
+texts are compared: pairs at an exact similarity of 0.8 or more are linked, and linked texts are a group.
 
 A pair at 0.8 has a cosine of 0.889 at least, so each bit differs with a chance of 0.152: 78 of 512 with a deviation of 8. Four shingles
 against five, the worst case by ties, differ in 96 with a deviation of 9. So 140 is five deviations off at least.
 
 Scale. Copies of a text are one entry. Lists with one entry are dropped, lists of the same texts are one; longer ones than TILE are dealt to pairs of blocks.
-What leaves a task is at most one link for each entry, to one text of those that it is joined with. Candidates of up to BLOCK texts are compared in one task. Larger
+What leaves a task is at most one link for each entry, to one text of those that it is joined with.
+Three bytes make 2**24 lists of each kind; above MANY texts the index takes four, so that lists hold few texts by chance; the second index makes up for what it then misses. Candidates of up to BLOCK texts are compared in one task. Larger
 groups are compared in blocks first, dealt twice by different hashes, and then only across blocks that hold texts of different classes, so near
-copies in their thousands, which the blocks join, never meet each with each. Of a text's shingles about a fifth are dealt out as keys; whole sets only of candidates.
+copies in their thousands, which the blocks join, never meet each with each. A text has 64 keys in the index, and of its shingles about a fifth are dealt out as keys; whole sets only of candidates.
 Documents are sorted out by a bitmap of fixed size of the texts that have copies, and only those
 that may be among them are shuffled.
 
@@ -43,6 +49,13 @@ SIMILARITY = 0.8
 PARTS = 8
 #: Fingerprints further apart are of texts that are less alike.
 DISTANCE = 140
+#: The index has a set of positions for each of the 64 bytes: so far from it, the first WIDTH of them. Two sets share one position at most.
+STEPS = (0, 7, 26, 36)
+WIDTH = 3
+#: Pairs that share fewer of the 64 bytes aren't compared. At 0.8 they share 17 with a deviation of 4; others one in four pairs one.
+SHARED = 6
+#: Above so many texts, sets of a position more.
+MANY = 1 << 21
 #: So many texts (about) are sampled for shingles that come last in the order: those of so many of them, at most so many.
 SAMPLED = 4000
 OFTEN = 8
@@ -77,17 +90,27 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def joined_within(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """(first, other) index pairs that join all fingerprints (n x 8 numbers) within a distance, directly or through others, to the first of them."""
+def joined_within(prints: np.ndarray, distance: int = DISTANCE, shared: int = 0, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(first, other) index pairs that join all fingerprints (n x 8 numbers) within a distance, directly or through others, to the first of them.
+
+    Only pairs with at least `shared` equal bytes count. Fingerprints alike in `known` are joined already, and no pair says so again.
+    """
+    body = np.ascontiguousarray(prints).view(np.uint8)
     out, left = [], np.arange(len(prints))
     while len(left) > 1:
         root, reached, left = int(left[0]), [int(left[0])], left[1:]
         while reached and len(left):
-            near = np.bitwise_count(prints[left] ^ prints[reached.pop()]).sum(axis=1, dtype=np.int64) <= distance
+            i = reached.pop()
+            if known is not None:
+                same = known[left] == known[i]
+                reached += left[same].tolist()
+                left = left[~same]
+            maybe = np.flatnonzero((body[left] == body[i]).sum(axis=1) >= shared) if shared else np.arange(len(left))
+            near = maybe[np.bitwise_count(prints[left[maybe]] ^ prints[i]).sum(axis=1, dtype=np.int64) <= distance]
             found = left[near].tolist()
             out += [(root, i) for i in found]
             reached += found
-            left = left[~near]
+            left = np.delete(left, near)
     return out
 
 
@@ -141,6 +164,32 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("k", "text").mapInArrow(run, "k bigint, fp binary")
 
 
+def _places(prints: np.ndarray, width: int) -> np.ndarray:
+    """The keys (n x 64) of fingerprints (n x 8 numbers) in the index: a set's number and its bytes."""
+    body = np.ascontiguousarray(prints).view(np.uint8)
+    at = np.arange(body.shape[1])
+    keys = np.broadcast_to(at << 8 * width, body.shape).copy()
+    for j, step in enumerate(STEPS[:width]):
+        keys |= body[:, (at + step) % len(at)].astype(np.int64) << 8 * j
+    return keys
+
+
+def _indexed(nodes: DataFrame, width: int) -> DataFrame:
+    """(key, k) for the position sets of each fingerprint of (k, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _places(_numbers(batch.column(1)), width)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "k"])
+
+    return nodes.select("k", "fp").mapInArrow(run, "key bigint, k bigint")
+
+
+def _numbers(fps: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(-1, PARTS)
+
+
 def _entries(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
     """(key, k) for the first shingles of each text."""
     held = texts.sparkSession.sparkContext.broadcast(common)
@@ -192,23 +241,37 @@ def _dealt(rows: DataFrame, keys: list[str], order: str, tile: int) -> DataFrame
     return own.select(*keys, F.expr("least(block, other)").alias("x"), F.expr("greatest(block, other)").alias("y"), *[c for c in rows.columns if c not in {*keys, "n"}])
 
 
-def _linked(tiles: DataFrame, keys: list[str], column: str, find) -> DataFrame:
-    """(a, b): the links that `find` makes between the rows of each tile, as index pairs, from the values of a column."""
+def _linked(tiles: DataFrame, keys: list[str], columns: list[str], find) -> DataFrame:
+    """(a, b): the links that `find` makes between the rows of each tile, as index pairs, from the values of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches, keys):
             ks = part.column("k").to_numpy()
-            found = np.array(find(part.column(column)), np.int64).reshape(-1, 2)
+            found = np.array(find(*[part.column(c) for c in columns]), np.int64).reshape(-1, 2)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(ks[found[:, 0]]), pa.array(ks[found[:, 1]])], names=["a", "b"])
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys, "k").select(*keys, "k", column).mapInArrow(run, "a bigint, b bigint")
+    return tiles.repartition(*keys).sortWithinPartitions(*keys, "k").select(*keys, "k", *columns).mapInArrow(run, "a bigint, b bigint")
+
+
+def _near(nodes: DataFrame, tile: int) -> DataFrame:
+    """(a, b): links that join texts that the index finds: alike at the positions of a set, with enough bytes in common and near enough."""
+    width = WIDTH + (nodes.count() > MANY)
+    tiles = _dealt(_lists(_indexed(nodes, width)), ["key"], "k", tile).join(nodes.select("k", "fp"), "k")
+    return _linked(tiles, ["key", "x", "y"], ["fp"], lambda fps: joined_within(_numbers(fps), shared=SHARED))
+
+
+def _missed(nodes: DataFrame, entries: DataFrame, known: DataFrame, tile: int) -> DataFrame:
+    """(a, b): links that join all texts that share a first shingle and whose fingerprints are near enough, but for those that `known` (node, root) joins."""
+    own = nodes.select("k", "fp").join(known.withColumnRenamed("node", "k"), "k", "left").select("k", "fp", F.coalesce("root", "k").alias("root"))
+    tiles = _dealt(_lists(entries), ["key"], "k", tile).join(own, "k")
+    return _linked(tiles, ["key", "x", "y"], ["fp", "root"], lambda fps, root: joined_within(_numbers(fps), known=root.to_numpy()))
 
 
 def _candidates(nodes: DataFrame, entries: DataFrame, tile: int) -> DataFrame:
-    """(a, b): links that join all texts that share a key and whose fingerprints are near enough."""
-    tiles = _dealt(_lists(entries), ["key"], "k", tile).join(nodes.select("k", "fp"), "k")
-    return _linked(tiles, ["key", "x", "y"], "fp", lambda fps: joined_within(np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(-1, PARTS)))
+    """(a, b): links that join all texts that may be similar enough: those that the index finds, and the pairs that it missed."""
+    known = components(_near(nodes, tile))
+    return known.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_missed(nodes, entries, known, tile))
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -250,14 +313,14 @@ def _verified(groups: DataFrame, texts: DataFrame, words: int, similarity: float
     own = checkpointed(own)
     sets = screened(texts.select("k", "text"), own, "k").filter("__tm_maybe").select("k", "text").mapInArrow(shingle, "k bigint, s array<bigint>")
     sets = checkpointed(sets.join(own.select("k"), "k", "left_semi").dropDuplicates(["k"]))
-    small = _linked(own.filter(f"n <= {block}").select("root", "k").join(sets, "k"), ["root"], "s", judge)
+    small = _linked(own.filter(f"n <= {block}").select("root", "k").join(sets, "k"), ["root"], ["s"], judge)
     large = own.filter(f"n > {block}")
     if large.isEmpty():
         return components(small)
     # any two texts of a large group meet in a block or don't, but dense classes come together
     blocks = f"cast(ceil(n / {block}D) AS int)"
     turns = [large.select("root", F.lit(turn).alias("turn"), F.expr(f"cast(pmod(xxhash64(k, {turn}), {blocks}) AS int)").alias("part"), "k") for turn in (0, 1)]
-    dense = checkpointed(_linked(turns[0].union(turns[1]).join(sets, "k"), ["root", "turn", "part"], "s", judge))
+    dense = checkpointed(_linked(turns[0].union(turns[1]).join(sets, "k"), ["root", "turn", "part"], ["s"], judge))
     within = components(dense)
     known = large.join(within.select(F.col("node").alias("k"), F.col("root").alias("class")), "k", "left").select("root", "k", F.coalesce("class", "k").alias("class"))
     sizes = known.groupBy("root", "class").agg(F.count("*").alias("c"))
@@ -275,7 +338,7 @@ def _verified(groups: DataFrame, texts: DataFrame, words: int, similarity: float
     meet = there.alias("p").join(there.alias("q"), "root").filter("p.own IS NULL OR q.own IS NULL OR p.own <> q.own")
     meet = meet.select("root", F.col("p.own").alias("own"), F.col("p.part").alias("part"), F.least("p.at", "q.at").alias("x"), F.greatest("p.at", "q.at").alias("y"))
     both = meet.join(placed, (meet.root == placed.root) & meet.own.eqNullSafe(placed.own) & (meet.part == placed.part)).select(meet.root, "x", "y", "k")
-    across = _linked(both.join(sets, "k"), ["root", "x", "y"], "s", judge)
+    across = _linked(both.join(sets, "k"), ["root", "x", "y"], ["s"], judge)
     return components(small.union(dense).union(across))
 
 
