@@ -473,3 +473,34 @@ def test_pairs_and_unit_root(spark):
     assert math.isclose(t[("walk",)], beta[1] / error, rel_tol=1e-6) and t[("noise",)] < -2.86
     row = spark.createDataFrame([(0.5,)], "d double").select(*margin_call("d", 100.0, 1.5)).first()
     assert row[0] and row[1] == 50
+
+
+@pytest.mark.parametrize("dependent", [False, True])
+def test_step_up_reads_each_p_value_once(spark, dependent):
+    g = random.Random(3)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, None if i % 11 == 0 else g.choice([0.001, 0.02, 0.3]) if i % 3 else g.random() / 20) for i in range(900)]
+    df = ST.benjamini_hochberg(spark.createDataFrame(rows, "id int, family string, p double"), by=("family",), dependent=dependent)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan.lower()
+    got = {r.id: r.p_bh for r in df.collect()}
+    assert len(got) == len(rows)
+    for family in ("a", "b", None):
+        own = sorted((p, i) for i, f, p in rows if f == family and p is not None)
+        m, least = len(own), 1.0
+        for rank in range(m, 0, -1):
+            least = min(least, own[rank - 1][0] * m * (sum(1 / k for k in range(1, m + 1)) if dependent else 1) / rank)
+            assert math.isclose(got[own[rank - 1][1]], least, rel_tol=1e-12)
+    assert all(got[i] is None for i, _, p in rows if p is None)
+
+
+def test_harmonic_sum_takes_no_loop(spark):
+    m = [1, 2, 255, 256, 257, 10_000]
+    got = spark.createDataFrame([(n,) for n in m], "m bigint").select("m", ST.harmonic(F.col("m").cast("double")).alias("h")).collect()
+    assert all(math.isclose(r.h, math.fsum(1 / k for k in range(1, r.m + 1)), rel_tol=1e-14) for r in got)
+
+
+def test_back_fill_reads_each_row_once(spark):
+    p = Panel(spark.createDataFrame([("a", i, float(i) if i % 3 == 1 else None) for i in range(8)], "ticker string, ts int, x double"))
+    df = p.select(x=p.back_fill("x"))
+    assert "currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert [r.x for r in df.orderBy("ts").collect()] == [1.0, 1.0, 4.0, 4.0, 4.0, 7.0, 7.0, 7.0]

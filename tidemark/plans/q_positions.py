@@ -542,7 +542,7 @@ def holm(spark, d):
 
 @query("bh_adjust", f"WITH t AS ({_P}), s AS (SELECT *, p * count(*) OVER (PARTITION BY family) / row_number() OVER (PARTITION BY family ORDER BY p, id) AS s FROM t) SELECT id, family, round(least(min(s) OVER (PARTITION BY family ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_bh FROM s")
 def bh(spark, d):
-    return rounded(ST.benjamini_hochberg(p_values(spark, d), by=("family",), tie="id"), "p_bh").select("id", "family", "p_bh")
+    return rounded(ST.benjamini_hochberg(p_values(spark, d), by=("family",)), "p_bh").select("id", "family", "p_bh")
 
 
 @query("return_moments", f"SELECT ticker, count(ret) AS n, round(avg(ret), 8) AS mean, round(stddev_samp(ret), 8) AS sd FROM ({_SMALL}) GROUP BY ticker")

@@ -525,7 +525,7 @@ def pbo(spark, d):
 @query("by_adjust", "WITH t AS (SELECT p_partkey AS id, p_size / 60.0 AS p FROM part), h AS (SELECT sum(1.0::DOUBLE / i) AS c FROM range(1, (SELECT count(*) + 1 FROM part)) q(i)), s AS (SELECT id, p * count(*) OVER () * c / row_number() OVER (ORDER BY p, id) AS s, p FROM t, h) SELECT id, round(least(min(s) OVER (ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_by FROM s")
 def by_adjust(spark, d):
     own = load(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 60.0).alias("p"))
-    return rounded(ST.benjamini_hochberg(own, out="p_by", dependent=True, tie="id").select("id", "p_by"), "p_by")
+    return rounded(ST.benjamini_hochberg(own, out="p_by", dependent=True).select("id", "p_by"), "p_by")
 
 
 _ADF = f"""WITH a AS (SELECT ticker, ts, close - {S.lag('close')} AS y, {S.lag('close')} AS x FROM ({B1})), b AS (SELECT ticker, y, x, {S.lag('y')} AS z FROM a), c AS (SELECT * FROM b WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL),
