@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,8 +49,11 @@ def evaluate(returns: DataFrame, periods: dict[str, tuple[str, str]] | None = No
 
 def sensitivity(bars: DataFrame, position: str = "position", mechanisms=(("next_open", 0.0), ("next_open", 7.0), ("next_open", 21.0), ("next_close", 7.0), ("same_close", 7.0))) -> DataFrame:
     """(config, market, ticker, ts, net) of one position under several executions and costs, the first of them as told by its name."""
-    parts = [simulate(bars, position, execution=how, bps=bps).select(F.lit(f"{how}|{bps:g}").alias("config"), "ticker", "ts", "net") for how, bps in mechanisms]
-    return reduce(DataFrame.unionByName, parts)
+    df, nets = bars, []
+    for i, how in enumerate(dict.fromkeys(how for how, _ in mechanisms)):  # all in one pass over the bars
+        df = simulate(df, position, execution=how, bps=0.0).withColumnsRenamed({"gross": f"_g{i}", "turnover": f"_t{i}"}).drop("held", "cost", "net")
+        nets += [F.struct(F.lit(f"{how}|{bps:g}").alias("config"), (F.col(f"_g{i}") - F.col(f"_t{i}") * float(bps) / 1e4).alias("net")) for which, bps in mechanisms if which == how]
+    return df.select("ticker", "ts", F.explode(F.array(*nets)).alias("_r")).select("_r.config", "ticker", "ts", "_r.net")
 
 
 def agreement(a: DataFrame, b: DataFrame, x: str = "close", on=("ticker", "ts"), annual: float = 252.0) -> DataFrame:
