@@ -526,3 +526,49 @@ def test_mean_reversion_is_not_calm_at_a_price_of_zero(spark):
     assert SG._below_quantile(pd.Series([1.0, math.inf, math.inf, 2.0]), 0.5).tolist() == [True, False, False, True]
     signal = SG.mean_reversion(spark.createDataFrame(f, BARS)).orderBy("ts").toPandas()["signal"]
     assert (signal[200:224] == 0).all() and (signal != 0).any()
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+
+
+def test_ticks_are_hashed_by_bar_in_their_order(spark):
+    at = dt.datetime(2024, 3, 31, 2, 30)  # an hour that some time zones leave out
+    rows = [("a", at, 3, 1.0), ("a", at, -2, 2.0), ("a", at, None, 7.0), ("a", at + dt.timedelta(minutes=29), 2**63 - 1, 4.0), ("a", at + dt.timedelta(minutes=29), -(2**63), 5.0), ("a", at + dt.timedelta(microseconds=1), -9, 6.0)]
+    ticks = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, id bigint, price double")
+    df = B.from_ticks(ticks, "1h", tie=("id",))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert [(r.open, r.close, r.high, r.low, r.volume) for r in df.collect()] == [(7.0, 4.0, 7.0, 1.0, 6.0)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        late = spark.createDataFrame([("a", dt.datetime(2024, 3, 31, 2, 59), 1, 1.0), ("a", dt.datetime(2024, 3, 31, 3, 1), 1, 2.0)], "ticker string, ts timestamp_ntz, id bigint, price double")
+        assert [(r.open, r.close) for r in B.from_ticks(late, "daily", tie=("id",)).collect()] == [(1.0, 2.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_cleaning_reads_bars_once(spark):
+    f = frame(120)
+    f.loc[60, ["close", "high"]] *= 3
+    f.loc[90, "low"] = 0.0
+    none = frame(5, ticker="B").assign(close=-1.0)
+    bars = spark.createDataFrame(pd.concat([f, f, none]), BARS)
+    assert scans(B.drop_spikes(bars)) == 1
+    kept, counters = B.clean(bars)
+    assert scans(kept) == 1 and scans(counters) == 2
+    got = {r.ticker: tuple(r)[1:] for r in counters.collect()}
+    assert got == {"A": (240, 120, 0, 1, 1, 0, 119), "B": (5, 0, 5, 0, 0, 0, 0)} and kept.count() == 119
+
+
+def test_sensitivity_reads_bars_once(spark):
+    from tidemark.operators import evaluation as EV
+
+    bars = spark.createDataFrame(frame(60).assign(position=lambda x: np.sign(np.sin(np.arange(60) / 5))), f"{BARS}, position double")
+    df = EV.sensitivity(bars)
+    assert scans(df) == 1
+    got = {(r.config, r.ts): r.net for r in df.collect()}
+    assert len(got) == 300
+    for how, bps in (("next_open", 0.0), ("next_open", 7.0), ("next_open", 21.0), ("next_close", 7.0), ("same_close", 7.0)):
+        assert {r.ts: r.net for r in P.simulate(bars, execution=how, bps=bps).collect()} == {ts: v for (c, ts), v in got.items() if c == f"{how}|{bps:g}"}

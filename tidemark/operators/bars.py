@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import Panel, col, log
@@ -19,9 +20,22 @@ def bucket(ts, timeframe: str):
     return F.window(col(ts), WIDTHS[timeframe])["start"].cast("timestamp_ntz")
 
 
+def _place(ticks: DataFrame, ts, tie) -> Column:
+    """What orders ticks. A time and one whole number become one decimal: aggregates keep that in place and hash by bar, where a struct has all ticks of a series sorted first."""
+    kinds = dict(ticks.dtypes)
+    if len(tie) == 1 and kinds.get(str(ts)) in ("timestamp_ntz", "timestamp") and kinds.get(str(tie[0])) in ("tinyint", "smallint", "int", "bigint"):
+        micros = F.unix_micros(ts)
+        if kinds[ts] == "timestamp_ntz":  # by its fields, as a cast would go through the session's time zone
+            minutes = (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+            micros = minutes * 60_000_000 + (F.expr(f"extract(SECOND FROM `{ts}`)") * 1_000_000).cast("bigint")
+        number = F.coalesce(F.col(tie[0]).cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)))  # a missing one comes first
+        return F.coalesce(micros, F.lit(0)).cast("decimal(18,0)") * F.lit(Decimal(2**65)) + number
+    return F.struct(col(ts), *[col(t) for t in tie])
+
+
 def from_ticks(ticks: DataFrame, timeframe: str, key="ticker", ts="ts", price="price", size=None, tie=()) -> DataFrame:
     """Bars of ticks; `tie` orders ticks of the same time. Empty bars are left out."""
-    at = F.struct(col(ts), *[col(t) for t in tie])
+    at = _place(ticks, ts, tie)
     volume = F.sum(col(size)) if size is not None else F.count("*").cast("double")
     aggs = [F.min_by(col(price), at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(col(price), at).alias("close"), volume.alias("volume")]
     return ticks.groupBy(col(key).alias("ticker"), bucket(ts, timeframe).alias("ts")).agg(*aggs)
@@ -65,58 +79,61 @@ def validate(bars: DataFrame) -> DataFrame:
     return bars.filter(ok)
 
 
+def _repaired() -> dict[str, Column]:
+    """Open, high and low of a bar with a positive close."""
+    own = {c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.col("close")) for c in ("open", "high", "low")}
+    return own | {"high": F.greatest(*own.values(), "close"), "low": F.least(*own.values(), "close")}
+
+
 def repair(bars: DataFrame) -> DataFrame:
     """Bars with a positive close; other prices that can't be become the close, and high and low are widened to hold all."""
-    own = bars.filter("close > 0").withColumns({c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.col("close")) for c in ("open", "high", "low")})
-    return own.withColumns({"high": F.greatest("open", "high", "low", "close"), "low": F.least("open", "high", "low", "close")})
+    return bars.filter("close > 0").withColumns(_repaired())
 
 
 def drop_spikes(bars: DataFrame, k: float = 12.0, rounds: int = 3) -> DataFrame:
     """Without bars whose return is over k median deviations and turns back in the next bar; up to three times."""
+    whole = Window.partitionBy("ticker")
     for _ in range(rounds):
         p = Panel(bars)
         r = p.diff(p.let(log("close")))
-        p.let(r, "_r")
-        df = p.drop_temporary()
-        mid = df.groupBy("ticker").agg(F.percentile("_r", 0.5).alias("_m"))
-        df = df.join(mid, "ticker")
-        mad = df.groupBy("ticker").agg(F.percentile(F.abs(F.col("_r") - F.col("_m")), 0.5).alias("_d"))
-        p = Panel(df.join(mad, "ticker").withColumn("_z", F.try_divide(F.col("_r") - F.col("_m"), F.nullif(F.col("_d") * 1.4826, F.lit(0.0)))))
-        after = p.lead("_z")
-        spike = (F.abs("_z") > k) & (F.abs(after) > k / 2) & (F.signum("_z") != F.signum(after))
+        away = p.let(r - p.let(F.percentile(r, 0.5).over(whole)))
+        z = p.let(F.try_divide(away, F.nullif(p.let(F.percentile(F.abs(away), 0.5).over(whole)) * 1.4826, F.lit(0.0))))
+        after = p.lead(z)
+        spike = (F.abs(z) > k) & (F.abs(after) > k / 2) & (F.signum(z) != F.signum(after))
         bars = p.df.filter(~F.coalesce(spike, F.lit(False))).select(*bars.columns)
     return bars
 
 
-def trim_gaps(bars: DataFrame, days: float = 31) -> DataFrame:
-    """The part of each series after its last gap of more than so many days."""
+def _after_gaps(bars: DataFrame, days: float) -> DataFrame:
+    """bars, and as `_kept` whether they lie after the last long gap."""
     p = Panel(bars)
     gap = p.let((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(p.lag("ts").cast("timestamp"))) / 86_400e6)
     cut = p.let(F.max(F.when(gap > days, F.col("ts"))).over(Window.partitionBy("ticker")))
-    kept = p.df.filter(cut.isNull() | (F.col("ts") >= cut))
-    return kept.select(*bars.columns)
+    return p.df.select(*bars.columns, (cut.isNull() | (F.col("ts") >= cut)).alias("_kept"))
+
+
+def trim_gaps(bars: DataFrame, days: float = 31) -> DataFrame:
+    """The part of each series after its last gap of more than so many days."""
+    return _after_gaps(bars, days).filter("_kept").drop("_kept")
 
 
 def clean(bars: DataFrame, tie=("open", "high", "low", "close"), k: float = 12.0, days: float = 31) -> tuple[DataFrame, DataFrame]:
     """(clean bars, counters): one bar a time, prices repaired, spikes dropped, and what lies before the last long gap cut off.
 
     counters has a row per instrument: bars that came in, that were doubles, without a price, changed by the repair, spikes, before the gap, and that are left.
+    They are counted in two passes: what single rows tell, and what is left after the spikes.
     """
-    one = keep_one(bars, ("ticker", "ts"), tie)
-    marked = one.withColumns({f"_{c}": F.col(c) for c in ("open", "high", "low")})
-    fixed = repair(marked)
-    changed = F.lit(False)
-    for c in ("open", "high", "low"):
-        changed |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-    calm = drop_spikes(fixed.select(*bars.columns), k)
-    kept = trim_gaps(calm, days)
-    steps = {"bars_in": bars, "singles": one, "priced": fixed, "fixed": fixed.filter(changed), "calm": calm, "bars_out": kept}
-    counts = None
-    for name, df in steps.items():
-        n = df.groupBy("ticker").agg(F.count("*").alias(name))
-        counts = n if counts is None else counts.join(n, "ticker", "left")
+    calm = drop_spikes(repair(keep_one(bars, ("ticker", "ts"), tie)), k)
+    marked = _after_gaps(calm, days)
+    numbered = bars.withColumn("_n", F.row_number().over(Window.partitionBy("ticker", "ts").orderBy(*tie)))
+    single, priced = F.col("_n") == 1, (F.col("_n") == 1) & (F.col("close") > 0)
+    changed = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(v) for c, v in _repaired().items()])
+    before = numbered.groupBy("ticker").agg(F.count("*").alias("bars_in"), F.count_if(single).alias("singles"), F.count_if(priced).alias("priced"), F.count_if(priced & changed).alias("fixed"))
+    after = marked.groupBy("ticker").agg(F.count("*").alias("calm"), F.count_if("_kept").alias("bars_out"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return kept, counts.select("ticker", "bars_in", (z("bars_in") - z("singles")).alias("doubles"), (z("singles") - z("priced")).alias("unpriced"), z("fixed").alias("fixed"), (z("priced") - z("calm")).alias("spikes"), (z("calm") - z("bars_out")).alias("before_gap"), z("bars_out").alias("bars_out"))
+    counts = before.join(after, "ticker", "left")
+    kept = marked.filter("_kept").drop("_kept")
+    return kept, counts.select("ticker", "bars_in", (z("bars_in") - z("singles")).alias("doubles"), (z("singles") - z("priced")).alias("unpriced"), "fixed", (z("priced") - z("calm")).alias("spikes"), (z("calm") - z("bars_out")).alias("before_gap"), z("bars_out").alias("bars_out"))
 
 
 def resample_all(bars: DataFrame, timeframes=("4h", "daily", "weekly")) -> DataFrame:
