@@ -189,7 +189,7 @@ _SLEEVES = q_study.ORACLE["sleeves_inverse_vol"].replace("round(sum(ret * v / vs
 @query("combined_sleeves", f"""WITH p AS ({_SLEEVES}), e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS eq FROM p), k AS (SELECT *, eq / max(eq) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e),
 g AS (SELECT count(*) AS n, avg(ret) AS m, stddev_pop(ret) AS s, last(eq ORDER BY date) AS eq, min(dd) AS dd FROM k) SELECT round((m - 0.06 / 252) / s * sqrt(252), 4) AS sharpe, round(pow(eq, 252.0::DOUBLE / n) - 1, 5) AS cagr, round(dd, 5) AS max_drawdown, round((pow(eq, 252.0::DOUBLE / n) - 1) / abs(dd), 4) AS calmar, round(s * sqrt(252), 5) AS annual_vol, n AS n_days FROM g""")
 def combined_sleeves(spark, d):
-    daily = PF.daily_returns(book(spark, d).withColumnRenamed("ticker", "sleeve"))
+    daily = q_study.sleeve_days(spark, book(spark, d))
     names = [r[0] for r in daily.select("sleeve").distinct().orderBy("sleeve").collect()]
     mean, cov, _ = PF.sleeve_moments(daily, names)
     shares = PF.weights(mean, cov, "inverse_vol")

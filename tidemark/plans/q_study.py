@@ -402,6 +402,11 @@ def resumed_grid(spark, d):
     return resume(spark.range(6).select(F.col("id").alias("param_id")), place, lambda todo: todo.withColumn("fresh", F.lit(True)))
 
 
+def sleeve_days(spark, trades):
+    """Daily returns of sleeves, written once: their names, moments and combination each read them, and the trades behind are many more."""
+    return _back(spark, PF.daily_returns(trades.withColumnRenamed("ticker", "sleeve")), store.scratch(spark))
+
+
 for _mode in ("equal_weight", "inverse_vol"):
     _share = "1.0 / k" if _mode == "equal_weight" else "v / vs"
 
@@ -409,7 +414,7 @@ for _mode in ("equal_weight", "inverse_vol"):
     s AS (SELECT sleeve, 1 / sqrt((sum(ret * ret) - sum(ret) * sum(ret) / any_value(n)) / (any_value(n) - 1)) AS v FROM d, t GROUP BY sleeve), w AS (SELECT *, sum(v) OVER () AS vs, count(*) OVER () AS k FROM s)
     SELECT date, round(sum(ret * {_share}), 6) AS ret FROM d JOIN w USING (sleeve) GROUP BY date""")
     def sleeves(spark, d, mode=_mode):
-        daily = PF.daily_returns(book(spark, d).withColumnRenamed("ticker", "sleeve"))
+        daily = sleeve_days(spark, book(spark, d))
         names = [r[0] for r in daily.select("sleeve").distinct().orderBy("sleeve").collect()]
         mean, cov, _ = PF.sleeve_moments(daily, names)
         return rounded(PF.combine(daily, dict(zip(names, PF.weights(mean, cov, mode).tolist(), strict=True))), "ret")
