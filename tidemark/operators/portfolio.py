@@ -82,7 +82,7 @@ def combine(daily: DataFrame, shares: dict[str, float], target_vol: float | None
 
 
 def portfolio_metrics(daily: DataFrame, periods: int = 252) -> DataFrame:
-    """Sharpe, CAGR, drawdown, Calmar, volatility and days of one daily series."""
+    """Sharpe, CAGR, drawdown, Calmar (infinite without a drawdown), volatility and days of one daily series."""
     from tidemark.operators.metrics import equity
 
     rows = equity(daily.withColumn("_one", F.lit(1)), "ret", ("_one",), ("date",))
@@ -90,7 +90,7 @@ def portfolio_metrics(daily: DataFrame, periods: int = 252) -> DataFrame:
     cagr = F.pow("e", periods / F.col("n_days")) - 1
     return g.select(
         F.when((F.col("s") == 0) | (F.col("n_days") < 2), 0.0).otherwise((F.col("m") - RISK_FREE / periods) / F.nullif("s", F.lit(0.0)) * math.sqrt(periods)).alias("sharpe"),
-        cagr.alias("cagr"), "max_drawdown", F.when(F.col("max_drawdown") < 0, cagr / F.abs(F.nullif("max_drawdown", F.lit(0.0)))).otherwise(0.0).alias("calmar"), (F.col("s") * math.sqrt(periods)).alias("annual_vol"), "n_days",
+        cagr.alias("cagr"), "max_drawdown", F.when(F.col("max_drawdown") < 0, cagr / F.abs(F.nullif("max_drawdown", F.lit(0.0)))).when(cagr != 0, F.signum(cagr) * float("inf")).otherwise(0.0).alias("calmar"), (F.col("s") * math.sqrt(periods)).alias("annual_vol"), "n_days",
     )
 
 
