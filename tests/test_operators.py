@@ -572,3 +572,34 @@ def test_sensitivity_reads_bars_once(spark):
     assert len(got) == 300
     for how, bps in (("next_open", 0.0), ("next_open", 7.0), ("next_open", 21.0), ("next_close", 7.0), ("same_close", 7.0)):
         assert {r.ts: r.net for r in P.simulate(bars, execution=how, bps=bps).collect()} == {ts: v for (c, ts), v in got.items() if c == f"{how}|{bps:g}"}
+
+
+def test_drawdowns_stay_right_beyond_a_double(spark):
+    rets = [9.0] * 400 + [-0.5, -0.2, 9.0, -0.9]
+    rows = [("a", i, r) for i, r in enumerate(rets)] + [("b", i, r) for i, r in enumerate([0.1, -0.2, None, -1.0, 0.3])] + [("c", i, r) for i, r in enumerate([0.5, -3.0, -1.5, 0.25])]
+    e = M.equity(spark.createDataFrame(rows, "ticker string, ts int, ret double"))
+    assert e.columns == ["ticker", "ts", "ret", "equity", "peak", "drawdown"]
+    low = {r.ticker: r.low for r in e.groupBy("ticker").agg(F.min("drawdown").alias("low")).collect()}
+    assert math.isclose(low["a"], -0.9) and low["b"] == -1.0
+    tail = e.filter("ticker = 'a' AND ts >= 400").orderBy("ts").toPandas()["drawdown"]
+    assert np.allclose(tail, [-0.5, -0.6, 0.0, -0.9])
+    turned = np.cumprod([1.5, -2.0, -0.5, 1.25])
+    got = e.filter("ticker = 'c'").orderBy("ts").toPandas()
+    assert np.allclose(got["equity"], turned) and np.allclose(got["drawdown"], turned / np.maximum.accumulate(turned) - 1)
+    t = M.trade_stats(e.filter("ticker = 'a'").select("ticker", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(ts)").alias("entry"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(ts)").alias("exit"), "ret")).first()
+    assert math.isclose(t.max_drawdown, -0.9)
+
+
+def test_calmar_without_drawdown_is_infinite(spark):
+    daily = spark.createDataFrame([(dt.date(2024, 1, 1 + i), 0.001 + i / 1e5) for i in range(9)], "date date, ret double")
+    assert PF.portfolio_metrics(daily).first().calmar == math.inf
+    assert PF.portfolio_metrics(daily.withColumn("ret", F.lit(0.0))).first().calmar == 0.0
+
+
+def test_sleeves_read_their_trades_once(spark):
+    from tidemark.plans import q_study
+
+    trades = spark.createDataFrame([("s", dt.datetime(2024, 1, d), r) for d, r in ((1, 0.1), (1, 0.3), (2, 0.5))], "ticker string, exit_ts timestamp_ntz, ret double")
+    daily = q_study.sleeve_days(spark, trades)
+    assert scans(daily) == 0 and "Aggregate" not in daily._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in daily.collect()) == [("s", dt.date(2024, 1, 1), 0.2), ("s", dt.date(2024, 1, 2), 0.5)]

@@ -11,12 +11,21 @@ RISK_FREE = 0.06
 
 
 def equity(df: DataFrame, ret="ret", keys=("ticker",), order=("ts",)) -> DataFrame:
-    """df with the compounded value of its returns, its peak so far and the drawdown from it."""
+    """df with the compounded value of its returns, its peak so far and the drawdown from it.
+
+    Values are summed in logs, so drawdowns stay right where the value itself is too large for a double and infinite, as after a million trades. A return of -1 ends in 0,
+    and one below turns the sign.
+    """
     p = Panel(df, keys, order)
-    value = p.let(F.product(1 + col(ret)).over(p.so_far()), "equity")
+    factor = p.let(1 + col(ret))
+    size = p.let(F.sum(F.when(factor != 0, F.log(F.abs(factor)))).over(p.so_far()))
+    side = p.let(F.when(F.count_if(factor == 0).over(p.so_far()) > 0, 0.0).otherwise(1.0 - 2 * (F.count_if(factor < 0).over(p.so_far()) % 2)))
+    value = p.let(F.when(side == 0, 0.0).otherwise(side * F.exp(size)), "equity")
+    top = p.let(F.max(F.when(side > 0, size)).over(p.so_far()))
     peak = p.let(F.max(value).over(p.so_far()), "peak")
-    p.let(ratio(value, peak) - 1, "drawdown")
-    return p.df
+    below = F.when(side == 0, -1.0).otherwise(side * F.exp(size - top) - 1)
+    p.let(F.when(top.isNotNull(), below).otherwise(ratio(value, peak) - 1), "drawdown")
+    return p.drop_temporary()
 
 
 def trade_stats(trades: DataFrame, keys=("ticker",), ret="ret", entry="entry", exit="exit", order=None) -> DataFrame:
